@@ -14,6 +14,7 @@ def get_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSession
         SparkSession.builder.master(f"local[{cores}]")
         .appName("corpusgraph")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.sql.adaptive.enabled", "true")
