@@ -98,9 +98,16 @@ def kind_of(node_type: Column) -> Column:
 
 
 def grams(col: Column, size: int) -> Column:
-    """Distinct character n-grams of a text, in one pass over its characters."""
-    chars = F.split(col, "")
-    pieces = F.transform(
-        chars,
-        lambda c, i: F.concat(c, *[F.get(chars, i + F.lit(k)) for k in range(1, size)]) if size > 1 else c)
-    return F.array_distinct(F.filter(pieces, lambda g: g.isNotNull() & (F.length(g) == size)))
+    """Distinct character n-grams of a text, in one pass over its characters.
+
+    The character array is bound as a lambda variable so that it is split once per text.
+    """
+
+    def pieces(chars: Column) -> Column:
+        if size == 1:
+            return chars
+        return F.transform(
+            chars, lambda c, i: F.concat(c, *[F.get(chars, i + F.lit(k)) for k in range(1, size)]))
+
+    found = F.flatten(F.transform(F.array(F.split(col, "")), pieces))
+    return F.array_distinct(F.filter(found, lambda g: g.isNotNull() & (F.length(g) == size)))

@@ -22,7 +22,10 @@ def query(name: str, *views: str, sql: str | None = None, ctes: str = ""):
             head = with_views(*views)
             if ctes:
                 head = (head + ",\n" if head else "WITH ") + ctes.strip().rstrip(",")
-            text = f"{head}\n{sql}"
+            joined = sql.strip()
+            if joined.startswith(",") and not head:
+                joined = "WITH " + joined[1:]
+            text = f"{head}\n{joined}"
         ENTRIES[name] = (f, text)
         return f
 

@@ -39,7 +39,7 @@ SELECT query_id, rank, id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
     SELECT a.vec_id AS query_id, b.id, {_COS} AS score
     FROM c a JOIN c b ON (a.vec_id % 3 = 0 OR list_contains([a.project_id, 'src1'], b.project_id))
-     AND (a.vec_id % 2 = 0 OR a.kind = b.kind))) WHERE rank <= 10""".replace("\n, c AS", ", c AS", 1))
+     AND (a.vec_id % 2 = 0 OR a.kind = b.kind))) WHERE rank <= 10""")
 def flt1(d):
     payload = d.vectors.select("id", "vec_id", "embedding").join(
         d.chunks.select("id", "project_id",
