@@ -14,9 +14,9 @@ def ascii_pattern(pattern: str) -> str:
     Java before 19 treats accented letters as word characters for ``\\b`` only, so the same
     job would give different rows on different clusters.
     """
-    flags = ""
+    flags = "(?d)"  # the dot stops at a line feed only
     if pattern.startswith("(?i)"):
-        flags, pattern = "(?i)", pattern[4:]
+        flags, pattern = "(?di)", pattern[4:]
     if pattern.startswith(r"\b"):
         pattern = r"(?<!\w)(?=\w)" + pattern[2:]
     return flags + pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
