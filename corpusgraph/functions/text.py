@@ -59,12 +59,16 @@ def first_label(col: Column, rules: list[tuple[str, list[str]]], default) -> Col
         *[F.when(contains_any(col, words), F.lit(label)) for label, words in rules], otherwise)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lookup(col: Column, table: dict, default=None) -> Column:
-    """Value of a small fixed table as a CASE."""
-    out = F.lit(default)
-    for key, value in reversed(list(table.items())):
-        out = F.when(col == F.lit(key), F.lit(value)).otherwise(out)
-    return out
+    """Value of a small fixed table; the column is evaluated once."""
+    entries = [F.lit(x) for pair in table.items() for x in pair]
+    found = F.try_element_at(F.create_map(*entries), col)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def banded(col: Column, bands: list[tuple[float, str]], default: str) -> Column:

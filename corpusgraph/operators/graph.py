@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusgraph.functions.text import kind_of, lookup
 from corpusgraph.operators.filters import substring_join
 from corpusgraph.rules.area_rules import EDGE_KINDS
+from corpusgraph.session import materialize
 
 CALL_RELS = ["CALLS", "CALLED_BY"]
 IMPORT_RELS = ["IMPORTS", "IMPORTED_BY"]
@@ -84,11 +85,11 @@ def siblings(edges: DataFrame, seeds: DataFrame, limit: int = 5) -> DataFrame:
     before the join instead of being paired with themselves.
     """
     up = edges.filter(F.col("rel") == "CHILD_OF").select(F.col("src").alias("_kid"), F.col("dst").alias("_parent"))
+    mine = seeds.select("query_id", "id").join(up.withColumnRenamed("_kid", "id"), "id")
     first = Window.partitionBy("_parent").orderBy("_kid")
     family = (
-        up.distinct().withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= limit + 1)
+        up.join(mine.select("_parent").distinct(), "_parent", "left_semi").distinct().withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= limit + 1)
         .select("_parent", F.col("_kid").alias("other_id")))
-    mine = seeds.select("query_id", "id").join(up.withColumnRenamed("_kid", "id"), "id")
     pairs = mine.join(family, "_parent").filter(F.col("other_id") != F.col("id"))
     return _first_per_seed(pairs, limit)
 
@@ -96,11 +97,11 @@ def siblings(edges: DataFrame, seeds: DataFrame, limit: int = 5) -> DataFrame:
 def same_file(chunks: DataFrame, seeds: DataFrame, limit: int, kinds: list[str] | None = None) -> DataFrame:
     """Up to ``limit`` other chunks of the same file, optionally of some kinds only."""
     pool = chunks if kinds is None else chunks.filter(kind_of(F.col("node_type")).isin(kinds))
+    mine = seeds.select("query_id", "id").join(chunks.select("id", "file_path"), "id")
     first = Window.partitionBy("file_path").orderBy("id")
     pool = (
-        pool.select("file_path", "id").withColumn("_r", F.row_number().over(first))
+        pool.select("file_path", "id").join(mine.select("file_path").distinct(), "file_path", "left_semi").withColumn("_r", F.row_number().over(first))
         .filter(F.col("_r") <= limit + 1).select("file_path", F.col("id").alias("other_id")))
-    mine = seeds.select("query_id", "id").join(chunks.select("id", "file_path"), "id")
     pairs = mine.join(pool, "file_path").filter(F.col("other_id") != F.col("id"))
     return _first_per_seed(pairs, limit)
 
@@ -149,14 +150,21 @@ def related_entities(edges: DataFrame, chunks: DataFrame, seeds: DataFrame, limi
     s = seeds.select("query_id", "id").distinct().join(files, "id").select(
         "query_id", F.col("id").alias("_s"), F.col("file_path").alias("_sf"))
     e = edges.filter(F.col("rel").isin(WALK_RELS + LIKENESS_RELS)).select("src", "dst", "rel")
-    both = e.unionByName(e.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel"))
-    hop = (
-        both.groupBy("src", "dst").agg(
-            F.max(F.col("rel").isin(CALL_RELS)).alias("_call"), F.max(F.col("rel").isin(IMPORT_RELS)).alias("_import"),
-            F.max(F.col("rel").isin(FAMILY_RELS)).alias("_family"),
-            F.count_if(F.col("rel").isin(WALK_RELS)).alias("_walks"))
-        .join(files.withColumnRenamed("id", "dst").withColumnRenamed("file_path", "_f"), "dst"))
 
+    def around(ids: DataFrame) -> DataFrame:
+        """Links of the given nodes in both directions, one row per pair."""
+        ends = ids.select(F.col("id").alias("src")).distinct()
+        out = e.join(ends, "src", "left_semi").select("src", "dst", "rel")
+        back = e.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel")
+        return (
+            out.unionByName(back.join(ends, "src", "left_semi").select("src", "dst", "rel"))
+            .groupBy("src", "dst").agg(
+                F.max(F.col("rel").isin(CALL_RELS)).alias("_call"), F.max(F.col("rel").isin(IMPORT_RELS)).alias("_import"),
+                F.max(F.col("rel").isin(FAMILY_RELS)).alias("_family"),
+                F.count_if(F.col("rel").isin(WALK_RELS)).alias("_walks"))
+            .join(files.withColumnRenamed("id", "dst").withColumnRenamed("file_path", "_f"), "dst"))
+
+    hop = materialize(around(s.select(F.col("_s").alias("id"))), "hop")
     direct = s.join(hop.withColumnRenamed("src", "_s"), "_s").filter(F.col("_f") != F.col("_sf")).select(
         "query_id", F.col("dst").alias("id"),
         F.when(F.col("_call"), 0.8).when(F.col("_import"), 0.7).when(F.col("_family"), 0.85)
@@ -164,7 +172,8 @@ def related_entities(edges: DataFrame, chunks: DataFrame, seeds: DataFrame, limi
 
     # same file: every chunk but the seed itself, unless another seed shares the file or a walk leads back
     pool = (
-        files.withColumn("_r", F.row_number().over(Window.partitionBy("file_path").orderBy("id")))
+        files.join(s.select(F.col("_sf").alias("file_path")).distinct(), "file_path", "left_semi")
+        .withColumn("_r", F.row_number().over(Window.partitionBy("file_path").orderBy("id")))
         .filter(F.col("_r") <= limit + 1).select(F.col("file_path").alias("_sf"), "id"))
     lone = s.groupBy("query_id", "_sf").agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
     in_file = lone.join(pool, "_sf").filter(
@@ -172,13 +181,13 @@ def related_entities(edges: DataFrame, chunks: DataFrame, seeds: DataFrame, limi
         "query_id", "id", F.lit(0.9).alias("relevance"))
     returns = hop.groupBy("src").agg(F.max("_walks").alias("_w")).filter("_w >= 2").select(F.col("src").alias("_s"))
     back = s.join(returns, "_s", "left_semi").select("query_id", F.col("_s").alias("id"), F.lit(0.9).alias("relevance"))
-    near = _union([direct, in_file, back]).distinct()
+    near = materialize(_union([direct, in_file, back]).distinct(), "near")
 
     strong = near.filter("relevance > 0.6").groupBy("query_id").agg(F.count("*").alias("_n"))
     hungry = s.join(strong.filter(F.col("_n") >= limit), "query_id", "left_anti")
-    walk_hop = hop.filter("_walks > 0").select("src", "dst", "_f")
-    mids = hungry.join(walk_hop.select(F.col("src").alias("_s"), F.col("dst").alias("_m")), "_s")
-    far = mids.join(walk_hop.withColumnRenamed("src", "_m"), "_m").filter(
+    mids = hungry.join(hop.filter("_walks > 0").select(F.col("src").alias("_s"), F.col("dst").alias("_m")), "_s")
+    next_hop = around(mids.select(F.col("_m").alias("id"))).filter("_walks > 0").select(F.col("src").alias("_m"), "dst", "_f")
+    far = mids.join(next_hop, "_m").filter(
         F.col("_f") != F.col("_sf")).select("query_id", "_s", F.col("dst").alias("id")).distinct()
     adjacent = hop.select(F.col("src").alias("_s"), F.col("dst").alias("id"))
     far = far.join(adjacent, ["_s", "id"], "left_anti").select("query_id", "id", F.lit(0.6).alias("relevance"))
@@ -223,25 +232,29 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, limit: int = 5) ->
     kinds = len(WALK_RELS) + len(LIKENESS_RELS)
     room = limit + (depth - 1) + kinds
     w = Window.partitionBy("src").orderBy("dst", "rel")
-    e = (
-        edges.select("src", "dst", "rel").distinct().withColumn("_r", F.row_number().over(w))
-        .filter(F.col("_r") <= room).select(F.col("src").alias("_at"), F.col("dst").alias("_next"), "rel"))
+    pairs = edges.select("src", "dst", "rel")
     s = seeds.select("query_id", "id").distinct()
     front = s.select("query_id", "id", F.col("id").alias("_at"), F.array("id").alias("path"),
                      F.array().cast("array<string>").alias("_used"))
     done: list[DataFrame] = []
     for hop in range(1, depth + 1):
-        front = (
-            front.join(e, "_at")
+        near = (
+            pairs.join(front.select(F.col("_at").alias("src")).distinct(), "src", "left_semi").distinct()
+            .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= room)
+            .select(F.col("src").alias("_at"), F.col("dst").alias("_next"), "rel"))
+        longer = (
+            front.join(near, "_at")
             .withColumn("_edge", F.concat_ws("\u0001", "_at", "_next", "rel"))
             .filter(~F.array_contains("_used", F.col("_edge")))
             .select("query_id", "id", F.col("_next").alias("_at"),
                     F.concat("path", F.array("_next")).alias("path"),
                     F.concat("_used", F.array("_edge")).alias("_used")))
-        found = front.filter(F.col("_at") != F.col("id"))
+        # every later step reads this level, which is a few rows per unfinished seed
+        front = materialize(longer, f"paths{hop}")
         best = Window.partitionBy("query_id", "id").orderBy("path", "_used")
         done.append(
-            found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= limit)
+            front.filter(F.col("_at") != F.col("id"))
+            .withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= limit)
             .select("query_id", "id", F.lit(hop).alias("hops"), "path", "_used"))
         if hop < depth:
             enough = _union(done).groupBy("query_id", "id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= limit)
@@ -277,12 +290,15 @@ def graph_score(relationships: DataFrame) -> DataFrame:
 
 
 def path_score(path_rows: DataFrame) -> DataFrame:
-    """``(query_id, id, path_score)``: each path of n > 1 nodes gives 1/n to every node on it."""
+    """``(query_id, id, path_score)``: each path of n > 1 nodes gives 1/n to every node on it.
+
+    An optional ``times`` column says how often a path was found.
+    """
+    times = F.col("times") if "times" in path_rows.columns else F.lit(1)
     return (
         path_rows.filter(F.size("path") > 1)
-        .select("query_id", F.size("path").alias("_n"), F.explode(F.array_distinct("path")).alias("id"))
-        .groupBy("query_id", "id")
-        .agg(F.least(F.sum(F.lit(1.0) / F.col("_n")), F.lit(1.0)).alias("path_score")))
+        .select("query_id", (times / F.size("path")).alias("_v"), F.explode(F.array_distinct("path")).alias("id"))
+        .groupBy("query_id", "id").agg(F.least(F.sum("_v"), F.lit(1.0)).alias("path_score")))
 
 
 def touching(edges: DataFrame, selection: DataFrame) -> DataFrame:

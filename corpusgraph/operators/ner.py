@@ -125,15 +125,15 @@ def extract_entities(texts: DataFrame, text_col: str = "query", key: str = "quer
     t = F.col(text_col)
     context = F.col(context_col) if context_col else None
     found = F.concat(pattern_entities(t, strict_reference), dictionary_entities(t))
-    rows = texts.withColumn("_found", found).withColumn("_merged", merge(F.col("_found")))
+    rows = texts.withColumn("_merged", merge(found))
     scored = F.transform("_merged", lambda e: F.struct(
         (-score(e, t, context)).alias("o"), e["start_pos"].alias("start_pos"), e.alias("e")))
-    return (
-        rows.withColumn("_scored", F.array_sort(scored))
-        .select(key, F.posexplode("_scored").alias("_i", "_s"))
-        .select(key, (F.col("_i") + 1).alias("rank"), F.col("_s.e.text").alias("text"), F.col("_s.e.type").alias("type"),
-                (-F.col("_s.o")).alias("confidence"), F.col("_s.e.start_pos").alias("start_pos"),
-                F.col("_s.e.end_pos").alias("end_pos"), F.col("_s.e.aliases").alias("aliases")))
+    # flat structs: fields picked from a nested struct after the explode would be pushed below it
+    # and evaluate the whole extraction once per field
+    flat = F.transform(F.array_sort(scored), lambda s, i: F.struct(
+        (i + 1).alias("rank"), s["e"]["text"].alias("text"), s["e"]["type"].alias("type"), (-s["o"]).alias("confidence"),
+        s["start_pos"].alias("start_pos"), s["e"]["end_pos"].alias("end_pos"), s["e"]["aliases"].alias("aliases")))
+    return rows.select(key, F.inline(flat))
 
 
 def all_aliases(entities: DataFrame) -> DataFrame:
