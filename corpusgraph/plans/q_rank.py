@@ -223,7 +223,7 @@ _DOC = """
 , i1 AS (SELECT query_id, 'Found ' || count(*) || ' semantically similar code chunks with average similarity of ' || printf('%.3f', avg(score)) AS t FROM vhits GROUP BY 1)
 , i2 AS (SELECT query_id, 'Most relevant code found in: ' || file_path || ' (' || n || ' chunks)' AS t FROM (SELECT query_id, file_path, count(*) AS n, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(rank)) AS r FROM tc GROUP BY query_id, file_path) WHERE r = 1)
 , i3 AS (SELECT query_id, 'Code types found: ' || string_agg(node_type || '(' || n || ')', ', ' ORDER BY o) AS t FROM (SELECT query_id, node_type, count(*) AS n, min(rank) AS o FROM tc GROUP BY 1, 2) GROUP BY 1)
-, blocks AS (SELECT query_id, string_agg(rank || '. ' || file_path || ':' || start_line || '-' || end_line || ' (score: ' || printf('%.3f', combined_score) || ')' || chr(10) || '   Type: ' || node_type || ', Name: ' || name || chr(10)
+, blocks AS (SELECT query_id, string_agg(rank || '. ' || file_path || ':' || start_line || '-' || end_line || ' (score: ' || printf('%.3f', combined_score + 1e-9) || ')' || chr(10) || '   Type: ' || node_type || ', Name: ' || name || chr(10)
    || '   Code: ' || CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END || chr(10), chr(10) ORDER BY rank) AS b FROM tc WHERE rank <= 5 GROUP BY 1)
 """
 

@@ -74,7 +74,7 @@ _QUESTIONS = [
 _CODE_PY = '''
 import os
 from pathlib import Path
-from helpers_@ import shared_helper
+from helpers_@ import shared_helper_@
 
 def hello_@(name):
     return "hello " + name
@@ -90,7 +90,7 @@ class Reader_@:
 
     def read_all(self):
         text = self.open_file()
-        return shared_helper(text)
+        return shared_helper_@(text)
 
 class Empty_@:
     def first(self):
@@ -101,12 +101,12 @@ def main():
     reader = Reader_@("a")
     return reader.read_all()
 '''
-_CODE_JS = '''import { shared_helper } from './helpers_@';
+_CODE_JS = '''import { shared_helper_@ } from './helpers_@';
 const settings_@ = {
   a: { b: 1 }
 };
 function loadConfig_@(path) {
-  return shared_helper(path);
+  return shared_helper_@(path);
 }
 const save_@ = (value) => {
   if (value) { write(value); }
@@ -128,13 +128,13 @@ function main(args: string) {
   const app = new MainApp_@(); app.run(args); }
 '''
 _CODE_HELPERS = '''
-def shared_helper(text):
+def shared_helper_@(text):
     return text.strip()
 
 def helper_@(a):
 
     def inner(b):
-        return shared_helper(b)
+        return shared_helper_@(b)
 
     return inner(a)
 '''
@@ -250,7 +250,7 @@ SELECT CASE doc_id % 4 WHEN 0 THEN 'proj' || doc_id || '/main.py'
        source AS project_id,
        CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript'
                        WHEN 2 THEN 'typescript' ELSE 'python' END AS language,
-       replace({_pick('doc_id', [_CODE_PY, _CODE_JS, _CODE_TS, _CODE_HELPERS])}, '@', 'f' || doc_id % 50)
+       replace({_pick('doc_id', [_CODE_PY, _CODE_JS, _CODE_TS, _CODE_HELPERS])}, '@', 'f' || (doc_id - doc_id % 8))
          || (CASE WHEN doc_id % 4 IN (1, 2) THEN '// ' || replace(text, '\n', '\n// ')
                   ELSE '# ' || replace(text, '\n', '\n# ') END) || '\n' AS content
 FROM {{documents}}
