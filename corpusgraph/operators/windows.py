@@ -96,6 +96,18 @@ def running_mean(df: DataFrame, time_col: str, tie_col: str, value_col: str,
         .drop("_b", "_s0", "_c0"))
 
 
+def running_sum(df: DataFrame, time_col: str, ties: list[str], value_col: str, out_col: str,
+                bucket: str = "hour") -> DataFrame:
+    """Sum of all rows up to each row in time order, by the same two steps as ``running_mean``."""
+    rows = df.withColumn("_b", F.date_trunc(bucket, time_col))
+    totals = rows.groupBy("_b").agg(F.sum(value_col).alias("_s"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
+    inside = Window.partitionBy("_b").orderBy(time_col, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(carried, "_b").withColumn(
+        out_col, F.col("_s0") + F.sum(value_col).over(inside)).drop("_b", "_s0")
+
+
 def page(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(skip).limit(limit)
 

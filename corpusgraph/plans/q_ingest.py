@@ -287,24 +287,24 @@ def snk6(d):
 
 
 @query("snk7_project_registry", sql="""
-, cur AS (SELECT source AS id, 'project ' || source AS name, 'CREATED' AS status, min(doc_id) AS total_files, 'boom' AS indexing_error, 0 AS indexed_at, 1 AS updated_at FROM documents GROUP BY source)
-, chg AS (SELECT lang || source AS id, 'new' AS name, 'INDEXING' AS status, count(*) AS total_files, NULL AS indexing_error, NULL AS updated_at, false AS deleted FROM documents GROUP BY ALL
-   UNION ALL SELECT source, NULL, CASE WHEN source LIKE '%1' THEN 'INDEXED' END, count(*), NULL, 9, source LIKE '%3' FROM documents GROUP BY source)
+, cur AS (SELECT source AS id, 'project ' || source AS name, 'not_indexed' AS status, min(doc_id) AS total_files, 'boom' AS indexing_error, 0 AS indexed_at, 1 AS updated_at FROM documents GROUP BY source)
+, chg AS (SELECT lang || source AS id, 'new' AS name, 'indexing' AS status, count(*) AS total_files, NULL AS indexing_error, NULL AS updated_at, false AS deleted FROM documents GROUP BY ALL
+   UNION ALL SELECT source, NULL, CASE WHEN source LIKE '%1' THEN 'indexed' WHEN source LIKE '%2' THEN 'error' END, count(*), NULL, 9, source LIKE '%3' FROM documents GROUP BY source)
 SELECT coalesce(cur.id, chg.id) AS id, coalesce(chg.name, cur.name) AS name, coalesce(chg.status, cur.status) AS status, coalesce(chg.total_files, cur.total_files) AS total_files,
-  CASE WHEN chg.status = 'INDEXED' THEN NULL ELSE coalesce(chg.indexing_error, cur.indexing_error) END AS indexing_error,
-  CASE WHEN chg.status = 'INDEXED' THEN chg.updated_at ELSE cur.indexed_at END AS indexed_at, coalesce(chg.updated_at, cur.updated_at) AS updated_at
+  coalesce(chg.indexing_error, CASE WHEN chg.status IS NULL OR chg.status = 'error' THEN cur.indexing_error END) AS indexing_error,
+  CASE WHEN chg.status = 'indexed' THEN chg.updated_at ELSE cur.indexed_at END AS indexed_at, coalesce(chg.updated_at, cur.updated_at) AS updated_at
 FROM cur FULL JOIN chg ON cur.id = chg.id WHERE NOT coalesce(deleted, false)""")
 def snk7(d):
     docs = d.documents
     none = lambda t: F.lit(None).cast(t)
     cur = docs.groupBy("source").agg(F.min("doc_id").alias("total_files")).select(
-        F.col("source").alias("id"), F.concat(F.lit("project "), "source").alias("name"), F.lit("CREATED").alias("status"),
+        F.col("source").alias("id"), F.concat(F.lit("project "), "source").alias("name"), F.lit("not_indexed").alias("status"),
         "total_files", F.lit("boom").alias("indexing_error"), F.lit(0).alias("indexed_at"), F.lit(1).alias("updated_at"))
     fresh = docs.groupBy("lang", "source").agg(F.count("*").alias("total_files")).select(
-        F.concat("lang", "source").alias("id"), F.lit("new").alias("name"), F.lit("INDEXING").alias("status"), "total_files",
+        F.concat("lang", "source").alias("id"), F.lit("new").alias("name"), F.lit("indexing").alias("status"), "total_files",
         none("string").alias("indexing_error"), none("int").alias("indexed_at"), none("int").alias("updated_at"), F.lit(False).alias("deleted"))
     change = docs.groupBy("source").agg(F.count("*").alias("total_files")).select(
-        F.col("source").alias("id"), none("string").alias("name"), F.when(F.col("source").endswith("1"), "INDEXED").alias("status"), "total_files",
+        F.col("source").alias("id"), none("string").alias("name"), F.when(F.col("source").endswith("1"), "indexed").when(F.col("source").endswith("2"), "error").alias("status"), "total_files",
         none("string").alias("indexing_error"), none("int").alias("indexed_at"), F.lit(9).alias("updated_at"), F.col("source").endswith("3").alias("deleted"))
     return store.merge_projects(cur, fresh.unionByName(change))
 

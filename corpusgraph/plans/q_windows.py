@@ -46,7 +46,7 @@ def flt3(d):
 
 _PROJECTS = """
 SELECT source AS id, 'project ' || source AS name,
-       CASE WHEN min(doc_id) % 3 = 0 THEN 'INDEXED' ELSE 'CREATED' END AS status,
+       CASE WHEN min(doc_id) % 3 = 0 THEN 'indexed' ELSE 'not_indexed' END AS status,
        min(doc_id) AS created, count(*) AS total_chunks
 FROM documents GROUP BY source"""
 
@@ -54,13 +54,13 @@ FROM documents GROUP BY source"""
 def projects(d):
     return d.documents.groupBy("source").agg(F.min("doc_id").alias("created"), F.count("*").alias("total_chunks")).select(
         F.col("source").alias("id"), F.concat(F.lit("project "), "source").alias("name"),
-        F.when(F.col("created") % 3 == 0, "INDEXED").otherwise("CREATED").alias("status"),
+        F.when(F.col("created") % 3 == 0, "indexed").otherwise("not_indexed").alias("status"),
         "created", "total_chunks")
 
 
-@query("flt5_projects_by_status", ctes=f"p AS ({_PROJECTS})", sql="SELECT * FROM p WHERE status = 'INDEXED'")
+@query("flt5_projects_by_status", ctes=f"p AS ({_PROJECTS})", sql="SELECT * FROM p WHERE status = 'indexed'")
 def flt5(d):
-    return filters.projects_by(projects(d), status="INDEXED")
+    return filters.projects_by(projects(d), status="indexed")
 
 
 @query("flt5_projects_by_name", ctes=f"p AS ({_PROJECTS})",

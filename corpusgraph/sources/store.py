@@ -43,20 +43,22 @@ def recreate(df: DataFrame, path: str, partition_by: str | None = None) -> None:
 def merge_projects(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Registry after changes: new ids are inserted, given fields replace, null fields keep.
 
-    ``changes`` has the registry's columns and ``deleted BOOLEAN``.  Becoming INDEXED stamps
-    ``indexed_at`` with the change's ``updated_at`` and clears the error.
+    ``changes`` has the registry's columns and ``deleted BOOLEAN``.  Becoming ``indexed`` stamps
+    ``indexed_at`` with the change's ``updated_at``; any given status but ``error`` clears an error
+    that the change does not set itself.
     """
     fields = [c for c in current.columns if c != "id"]
     c, n = current.alias("c"), changes.alias("n")
     merged = c.join(n, F.col("c.id") == F.col("n.id"), "full").filter(~F.coalesce(F.col("n.deleted"), F.lit(False)))
-    done = F.coalesce(F.col("n.status") == "INDEXED", F.lit(False))
+    done = F.coalesce(F.col("n.status") == "indexed", F.lit(False))
+    clears = F.coalesce(F.col("n.status") != "error", F.lit(False))
     cols = []
     for f in fields:
         value = F.coalesce(F.col(f"n.{f}"), F.col(f"c.{f}"))
         if f == "indexed_at":
             value = F.when(done, F.col("n.updated_at")).otherwise(value)
         if f == "indexing_error":
-            value = F.when(~done, value)
+            value = F.coalesce(F.col(f"n.{f}"), F.when(~clears, F.col(f"c.{f}")))
         cols.append(value.alias(f))
     return merged.select(F.coalesce("c.id", "n.id").alias("id"), *cols)
 
