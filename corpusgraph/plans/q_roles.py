@@ -15,6 +15,7 @@ from corpusgraph.plans.q_stats import _COVER, joined, results, rounded
 from corpusgraph.plans.q_text import _ENT, complexity_sql
 from corpusgraph.rules import area_rules as A
 from corpusgraph.rules import role_rules as R
+from corpusgraph.session import materialize
 
 _ROLE_LIST = S.list_of(R.ROLES)
 # the question table asks of the seven result lists in turn: list = query_id % 7
@@ -99,7 +100,7 @@ def cl10(d):
 
 @query("cl11_role_retrieval")
 def cl11(d):
-    hits = role_hits(d)
+    hits = materialize(role_hits(d), "hits")
     tasks = hits.select("query_id", "position", "role").distinct().withColumn("chunks_needed", F.lit(4))
     return roles.role_retrieval(tasks, hits.filter("rank <= 20"), hits, turns=5)
 

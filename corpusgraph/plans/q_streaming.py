@@ -25,17 +25,22 @@ def event_stream(d):
     return d.spark.sql(VIEWS["stream_events"], events=_read(d, "events", _RAW))
 
 
+def _plain(df):
+    """Timestamps without a zone, as the given table has them."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
 @query("ss1_stream_status", "stream_events", sql="""
 SELECT stream_id, event_type, message, progress, ts FROM (
   SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts DESC, event_id DESC) AS r FROM stream_events WHERE progress IS NOT NULL) WHERE r = 1""")
 def ss1(d):
-    return P.stream_status_streaming(event_stream(d))
+    return _plain(P.stream_status_streaming(event_stream(d)))
 
 
 @query("ss2_stream_history", "stream_events", sql="""
 SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS seq, event_id, event_type, ts FROM stream_events""")
 def ss2(d):
-    return P.stream_history_streaming(event_stream(d))
+    return _plain(P.stream_history_streaming(event_stream(d)))
 
 
 _GAPS = """
@@ -47,12 +52,12 @@ SELECT stream_id, ts AS since, CAST(floor(gap / 3600) AS BIGINT) AS beats, last_
 
 @query("ss3_idle_heartbeat", "stream_events", sql=_GAPS)
 def ss3(d):
-    return P.idle_gaps_streaming(event_stream(d), 3600.0)
+    return _plain(P.idle_gaps_streaming(event_stream(d), 3600.0))
 
 
 @query("ss3_idle_heartbeat_batch", "stream_events", sql=_GAPS)
 def ss3_batch(d):
-    return P.idle_gaps(d.stream_events, 3600.0)
+    return _plain(P.idle_gaps(d.stream_events, 3600.0))
 
 
 _UNTIL = """
@@ -62,12 +67,12 @@ WHERE last_id IS NULL OR event_id <= last_id"""
 
 @query("ss4_stream_termination", "stream_events", sql=_UNTIL)
 def ss4(d):
-    return P.until_complete_streaming(event_stream(d), "agent_complete").select("event_id", "stream_id", "event_type", "ts")
+    return _plain(P.until_complete_streaming(event_stream(d), "agent_complete").select("event_id", "stream_id", "event_type", "ts"))
 
 
 @query("ss4_stream_termination_batch", "stream_events", sql=_UNTIL)
 def ss4_batch(d):
-    return P.until_complete(d.stream_events, "agent_complete").select("event_id", "stream_id", "event_type", "ts")
+    return _plain(P.until_complete(d.stream_events, "agent_complete").select("event_id", "stream_id", "event_type", "ts"))
 
 
 @query("ss5_agent_progress", "stream_events", sql="""
@@ -78,13 +83,14 @@ SELECT stream_id, started, last_ts, round((epoch_us(last_ts) - epoch_us(started)
   round(30 + CASE WHEN total > 0 THEN least(completed * 1.0e0 / total, 1) ELSE 0 END * 60 + 1e-9, 3) AS progress FROM a""")
 def ss5(d):
     out = P.agent_progress_streaming(event_stream(d))
-    return out.withColumn("seconds", F.round("seconds", 3)).withColumn("progress", F.round(F.col("progress") + 1e-9, 3))
+    return _plain(out.withColumn("seconds", F.round("seconds", 3)).withColumn(
+        "progress", F.round(F.col("progress") + 1e-9, 3)))
 
 
 @query("ss5_stage_durations", "stream_events", sql="""
 SELECT stream_id, event_type, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS seconds, count(*) AS n_events FROM stream_events GROUP BY ALL""")
 def ss5_stages(d):
-    return P.stage_durations(d.stream_events).withColumn("seconds", F.round("seconds", 3))
+    return _plain(P.stage_durations(d.stream_events).withColumn("seconds", F.round("seconds", 3)))
 
 
 _DOCS = T.StructType([
@@ -104,16 +110,16 @@ def ss6(d):
 SELECT a.event_id, count(*) AS active, count(*) > 3 AS over_limit FROM events a JOIN events b
   ON (b.ts < a.ts OR (b.ts = a.ts AND b.event_id <= a.event_id)) AND b.ts >= a.ts - INTERVAL 300 SECOND GROUP BY a.event_id""")
 def ss7(d):
-    return P.active_requests(d.events)
+    return _plain(P.active_requests(d.events))
 
 
 @query("ss7_expire_active", "stream_events", sql="""
 SELECT event_id, stream_id, count(*) OVER (PARTITION BY stream_id ORDER BY ts RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND CURRENT ROW) AS active FROM stream_events""")
 def ss7_streaming(d):
-    return P.active_per_stream_streaming(event_stream(d), 7200)
+    return _plain(P.active_per_stream_streaming(event_stream(d), 7200))
 
 
 @query("ss7_expire_active_batch", "stream_events", sql="""
 SELECT event_id, stream_id, count(*) OVER (PARTITION BY stream_id ORDER BY ts RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND CURRENT ROW) AS active FROM stream_events""")
 def ss7_batch(d):
-    return P.active_per_stream(d.stream_events, 7200)
+    return _plain(P.active_per_stream(d.stream_events, 7200))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,6 +48,11 @@ def run_available(stream: DataFrame, mode: str, write: Callable[[DataFrame, int]
     return reader.option("basePath", out).parquet(out)
 
 
+def _us(column) -> Column:
+    """Microseconds of a timestamp column of either kind."""
+    return F.unix_micros((F.col(column) if isinstance(column, str) else column).cast("timestamp"))
+
+
 def _latest(df: DataFrame) -> DataFrame:
     return df.groupBy("stream_id").agg(F.max_by(
         F.struct("event_type", "message", "progress"), F.struct("ts", "event_id")).alias("s"), F.max("ts").alias("ts"))
@@ -83,7 +88,7 @@ def idle_gaps(events: DataFrame, idle: float = IDLE_SECONDS) -> DataFrame:
     """One row per silence longer than ``idle``: when it began, heartbeats due in it, last progress."""
     w = Window.partitionBy("stream_id").orderBy("ts", "event_id")
     past = w.rowsBetween(Window.unboundedPreceding, 0)
-    seconds = (F.unix_micros(F.lead("ts").over(w)) - F.unix_micros("ts")) / 1e6
+    seconds = (_us(F.lead("ts").over(w)) - _us("ts")) / 1e6
     rows = events.withColumn("_gap", seconds).withColumn(
         "last_progress", F.last("progress", ignorenulls=True).over(past))
     return rows.filter(F.col("_gap") > idle).select(
@@ -147,7 +152,7 @@ def agent_progress(events: DataFrame, gap: str = "1 day") -> DataFrame:
     total = F.count_if(F.col("event_type") == "agent_start")
     grouped = events.groupBy("stream_id", F.session_window("ts", gap).alias("w")).agg(
         F.max("ts").alias("last_ts"), F.count("*").alias("n_events"), done.alias("completed"), total.alias("total"))
-    seconds = (F.unix_micros("last_ts") - F.unix_micros(F.col("w.start"))) / 1e6
+    seconds = (_us("last_ts") - _us("w.start")) / 1e6
     share = F.when(F.col("total") > 0, F.least(F.col("completed") / F.col("total"), F.lit(1.0))).otherwise(0.0)
     return grouped.select("stream_id", F.col("w.start").alias("started"), "last_ts", seconds.alias("seconds"), "n_events",
                           "completed", "total", (START_MARK + share * SPAN).alias("progress"))
@@ -162,7 +167,7 @@ def agent_progress_streaming(events: DataFrame, gap: str = "1 day") -> DataFrame
 def stage_durations(events: DataFrame) -> DataFrame:
     """Seconds from the first to the last event of every stage of a stream."""
     return events.groupBy("stream_id", "event_type").agg(
-        ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("seconds"), F.count("*").alias("n_events"))
+        ((_us(F.max("ts")) - _us(F.min("ts"))) / 1e6).alias("seconds"), F.count("*").alias("n_events"))
 
 
 def active_requests(events: DataFrame, seconds: int = EXPIRE_SECONDS, most: int = MOST_ACTIVE) -> DataFrame:
@@ -170,8 +175,8 @@ def active_requests(events: DataFrame, seconds: int = EXPIRE_SECONDS, most: int
 
     Starts so far minus expiries so far, as a two-step running sum over time.
     """
-    us = F.unix_micros("ts")
-    starts = events.select("event_id", "ts", F.lit(1).alias("step"), F.lit(1).alias("kind"))
+    us = _us("ts")
+    starts = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("step"), F.lit(1).alias("kind"))
     # a request leaves once it is older than the limit, so one exactly that old still counts
     ends = events.select("event_id", F.timestamp_micros(us + seconds * 1_000_000).alias("ts"), F.lit(-1).alias("step"),
                          F.lit(2).alias("kind"))
@@ -182,7 +187,7 @@ def active_requests(events: DataFrame, seconds: int = EXPIRE_SECONDS, most: int
 
 def active_per_stream(events: DataFrame, seconds: int = EXPIRE_SECONDS) -> DataFrame:
     """The same count within each stream."""
-    w = Window.partitionBy("stream_id").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy("stream_id").orderBy(_us("ts")).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("active", F.count("*").over(w)).select("event_id", "stream_id", "active")
 
 
