@@ -179,6 +179,8 @@ def _blocked(q: DataFrame, v: DataFrame, keys: list[str], out_schema: T.StructTy
     The block counts come from exact bucket sizes, so a bucket holding a third of all rows is
     simply cut into more blocks.
     """
+    # fresh column identities: both sides may come from the same table
+    q, v = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (q, v))
     sizes = (
         q.groupBy("bucket").agg(F.count("*").alias("nq"))
         .join(v.groupBy("bucket").agg(F.count("*").alias("nv")), "bucket")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusgraph.functions.text import ascii_pattern, lookup, words_array
 from corpusgraph.operators.questions import complexity_by_score, word_count
 from corpusgraph.rules import ner_rules as N
+from corpusgraph.session import spread
 
 ENTITY = ("struct<start_pos:int,seq:int,end_pos:int,text:string,type:string,confidence:double,"
           "aliases:array<string>>")
@@ -122,6 +123,7 @@ def score(entity: Column, text: Column, context: Column | None = None) -> Column
 def extract_entities(texts: DataFrame, text_col: str = "query", key: str = "query_id",
                      context_col: str | None = None, strict_reference: bool = False) -> DataFrame:
     """One row per entity: key, rank (best first), text, type, confidence, offsets, aliases."""
+    texts = spread(texts, key)
     t = F.col(text_col)
     context = F.col(context_col) if context_col else None
     found = F.concat(pattern_entities(t, strict_reference), dictionary_entities(t))

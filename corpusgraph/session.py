@@ -47,3 +47,10 @@ def materialize(df, label: str = "step"):
     path = run_dir(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df, *keys):
+    """Even out a table of texts before costly work per row (input files may be few or uneven)."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusgraph.session import materialize
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -278,19 +280,31 @@ def dependencies(name: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
+# views that stand for stored tables: written once per use, then read as often as needed
+STORED = ("edges", "doc_edges", "nodes")
+
+
 class Data:
     """Given tables and derived views of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in STORED:
+            if name not in self._stored:
+                self._stored[name] = materialize(self._view(name), name)
+            return self._stored[name]
         if name in VIEWS:
-            return self.spark.sql(VIEWS[name], **{d: getattr(self, d) for d in dependencies(name)})
+            return self._view(name)
         raise AttributeError(name)
 
+    def _view(self, name: str) -> DataFrame:
+        return self.spark.sql(VIEWS[name], **{d: getattr(self, d) for d in dependencies(name)})
+
 
 def with_views(*names: str) -> str:
     """``WITH`` clause that defines the named views (and what they need) for the SQL check."""
