@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from corpusgraph.llm import q_suffix  # noqa: F401
+from corpusgraph.llm import q_neardup, q_suffix  # noqa: F401
 from corpusgraph.llm.queries import QUERIES, SQL  # noqa: F401
