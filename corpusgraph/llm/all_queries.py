@@ -1,4 +1,5 @@
 """Importing this module registers every query of the subpackage."""
 
-from corpusgraph.llm import q_decontaminate, q_language, q_licenses, q_neardup, q_suffix, q_tokens  # noqa: F401
+from corpusgraph.llm import (  # noqa: F401
+    q_chat, q_decontaminate, q_hamming, q_language, q_licenses, q_neardup, q_suffix, q_tokens)
 from corpusgraph.llm.queries import QUERIES, SQL  # noqa: F401
