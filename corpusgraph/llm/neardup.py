@@ -263,7 +263,8 @@ def links_and_nodes(docs: DataFrame, threshold: float = THRESHOLD, bucket: int =
                          ["doc_id", "print1", "print2"]).select("doc_id", "keys", "sample"))
     pairs = materialize(_proposals(nodes, bucket), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = materialize(rows.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    # one plan at every size: the ids wanted grow with the corpus, so that they are not broadcast even while they are few
+    texts = materialize(rows.join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "texts")
     links = materialize(
         pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
         .select("a", "b", "text_a", "text_b")
