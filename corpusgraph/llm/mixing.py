@@ -22,8 +22,8 @@ from corpusgraph.session import materialize
 SLOTS = 1 << 17
 #: Bound of the labelled sample (documents) that the classifier is fitted on.
 TRAIN_DOCS = 20_000
-#: Weight of the background share of a word against its share in a domain.
-PRIOR = 20.0
+#: Documents' worth of prior that a word's domain shares are shrunk to.
+PRIOR = 5.0
 DOMAINS = ["good", "low", "toxic"]
 #: Shares of all tokens that each domain shall have.
 TARGETS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
@@ -74,9 +74,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
     counts = np.zeros((len(DOMAINS), SLOTS + 1))
     counts[rows["domain"].to_numpy(), rows["slot"].to_numpy()] = rows["n"].to_numpy()
     size, words_ = counts[:, SLOTS:], counts[:, :SLOTS]
-    background = (words_.sum(axis=0) + 0.5) / (size.sum() + 1)
-    odds = np.log((words_ + PRIOR * background) / (size + PRIOR)) - np.log(background)
-    return np.hstack([odds, np.log((size + 1) / (size.sum() + len(DOMAINS)))])
+    prior = (size + 1) / (size.sum() + len(DOMAINS))
+    # P(word | domain) / P(word) = P(domain | word) / P(domain); a word never seen says nothing
+    odds = np.log((words_ + PRIOR * prior) / (words_.sum(axis=0) + PRIOR)) - np.log(prior)
+    return np.hstack([odds, np.log(prior)])
 
 
 def _posteriors(shared):
