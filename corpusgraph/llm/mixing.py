@@ -16,14 +16,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm.blocks import TOKEN_BYTES, U64, text_blocks, words
+from corpusgraph.llm.blocks import LOWER, TOKEN_BYTES, U64, RollingHash, text_blocks, words
+from corpusgraph.llm.blocks import mix as mix64
 from corpusgraph.session import materialize
 
 SLOTS = 1 << 17
 #: Bound of the labelled sample (documents) that the classifier is fitted on.
 TRAIN_DOCS = 20_000
 #: Documents' worth of prior that a word's domain shares are shrunk to.
-PRIOR = 5.0
+PRIOR = 2.0
+#: A word counts only if it is in MIN_DOCS sampled documents and one domain differs from its expectation by this chi-square.
+SIGNIFICANT, MIN_DOCS = 20.0, 4
+#: Besides whole words, their first bytes are features.
+PREFIX = 4
 DOMAINS = ["good", "low", "toxic"]
 #: Shares of all tokens that each domain shall have.
 TARGETS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
@@ -37,10 +42,12 @@ def domain_column() -> Column:
 
 
 def _slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot) of the distinct words of a block, and the number of words of each row."""
-    word, _, _, first = words(data, offsets, TOKEN_BYTES)
+    """(row, slot) of the distinct features of a block (words and word beginnings), and the number of words of each row."""
+    word, start, end, first = words(data, offsets, TOKEN_BYTES)
     row = np.repeat(np.arange(len(offsets) - 1), first[1:] - first[:-1])
-    code = np.unique(row * SLOTS + (word >> U64(47)).astype(np.int64))
+    begin = mix64(~RollingHash(LOWER[data])(start, np.minimum(start + PREFIX, end)))
+    code = np.concatenate([row * SLOTS + (x >> U64(47)).astype(np.int64) for x in (word, begin)])
+    code = np.unique(code)
     return code // SLOTS, code % SLOTS, first[1:] - first[:-1]
 
 
@@ -75,8 +82,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
     counts[rows["domain"].to_numpy(), rows["slot"].to_numpy()] = rows["n"].to_numpy()
     size, words_ = counts[:, SLOTS:], counts[:, :SLOTS]
     prior = (size + 1) / (size.sum() + len(DOMAINS))
-    # P(word | domain) / P(word) = P(domain | word) / P(domain); a word never seen says nothing
-    odds = np.log((words_ + PRIOR * prior) / (words_.sum(axis=0) + PRIOR)) - np.log(prior)
+    seen = words_.sum(axis=0)
+    expected = prior * seen
+    apart = ((words_ - expected) ** 2 / np.maximum(expected, 1e-9)).max(axis=0)
+    # P(word | domain) / P(word) = P(domain | word) / P(domain); a word without evidence says nothing
+    odds = np.log((words_ + PRIOR * prior) / (seen + PRIOR)) - np.log(prior)
+    odds[:, (seen < MIN_DOCS) | (apart < SIGNIFICANT)] = 0.0
     return np.hstack([odds, np.log(prior)])
 
 
