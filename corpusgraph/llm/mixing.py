@@ -217,5 +217,5 @@ def apply_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     used = {c.lower() for c in docs.columns}
     rate, copies = (c if c not in used else f"mixing_{c}" for c in ("rate", "copies"))
     kept = found.filter("copies > 0").select(F.col("doc_id").alias("key"), F.col("rate").alias("r"), F.col("copies").alias("c"))
-    joined = docs.alias("d").join(kept, F.expr("d.doc_id <=> key"))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("r").alias(rate), F.col("c").alias(copies))
+    joined = docs.alias("d").join(kept.alias("m"), F.expr("d.doc_id <=> m.key"))
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("m.r").alias(rate), F.col("m.c").alias(copies))

@@ -14,6 +14,7 @@ import json
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +69,10 @@ class Encoder:
     def spans(self, text: str) -> tuple[list[int], list[int]]:
         """Token ids and the character offset behind each token."""
         if self.piece:
-            found = self.piece.encode(text, out_type="immutable_proto").pieces
-            return [p.id for p in found], [p.end for p in found]
+            found = self.piece.encode(text, return_type="proto").pieces
+            # its offsets are bytes
+            chars = np.r_[0, np.cumsum((np.frombuffer(text.encode("utf-8"), np.uint8) & 0xC0) != 0x80)]
+            return [p.id for p in found], chars[[p.end for p in found]].tolist()
         code = self.bpe.encode(text, add_special_tokens=False)
         return code.ids, [end for _, end in code.offsets]
 
