@@ -51,10 +51,5 @@ def coverage_expand(results: DataFrame, queries: DataFrame, extra: DataFrame, ch
         .filter((F.col("short") <= MANY_SHORT) | (F.col("_p") <= F.col("short")))
         .select("query_id", "id", (F.col("_n") + F.col("_p")).cast("int").alias("rank")))
     everything = results.select("query_id", "id", "rank").unionByName(added).join(chunks.select("id", "file_path"), "id")
-    targets = [r["target"] for r in queries.select("target").distinct().limit(1001).collect()]
-    if len(targets) > 1000:
-        raise ValueError("more than 1000 different targets")
-    goal = queries.select("query_id", "target")
-    parts = [windows.round_robin(everything.join(goal.filter(F.col("target") == t).select("query_id"), "query_id", "left_semi"), t)
-             for t in targets]
-    return windows.union_results(*parts)
+    goal = queries.select("query_id", F.col("target").alias("_target"))
+    return windows.round_robin(everything.join(goal, "query_id"), F.col("_target")).drop("_target")

@@ -79,7 +79,7 @@ def _text_grams(texts: DataFrame, key: str, text_col: str) -> DataFrame:
 
 def substring_join(texts: DataFrame, key: str, text_col: str, patterns: DataFrame,
                    pattern_col: str, shared: int = SHARED_PATTERNS) -> DataFrame:
-    """``(key, pattern)`` for every text that contains the pattern, without comparing all pairs.
+    """Distinct ``(key, pattern)`` for every text that contains the pattern, without comparing all pairs.
 
     A pattern list of checked size goes to every task as one matching automaton, and each text is
     read once where it lies.  A longer list takes the n-gram form, which shuffles.  Both are exact.
@@ -88,8 +88,8 @@ def substring_join(texts: DataFrame, key: str, text_col: str, patterns: DataFram
     if ahocorasick is not None and shared > 0:
         rows = [r["_p"] for r in wanted.limit(shared + 1).collect()]
         if len(rows) <= shared and sum(map(len, rows)) <= SHARED_PATTERN_CHARS:
-            return _scan(texts, key, text_col, rows, pattern_col)
-    return _gram_join(texts, key, text_col, wanted, pattern_col)
+            return _scan(texts, key, text_col, rows, pattern_col).distinct()
+    return _gram_join(texts, key, text_col, wanted, pattern_col).distinct()
 
 
 def _scan(texts: DataFrame, key: str, text_col: str, words: list[str], pattern_col: str) -> DataFrame:
@@ -127,7 +127,7 @@ def _gram_join(texts: DataFrame, key: str, text_col: str, wanted: DataFrame,
         pieces.join(frequency, "_gram", "left")
         .groupBy("_p").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("g"))
         .filter("g.n > 0").select("_p", F.col("g._gram").alias("_gram")))
-    candidates = text_grams.join(rarest, "_gram").select("_key", "_p")
+    candidates = text_grams.join(rarest, "_gram").select("_key", "_p").distinct()
     return (
         candidates.join(texts.select(F.col(key).alias("_key"), F.col(text_col).alias("_text")), "_key")
         .filter(F.col("_text").contains(F.col("_p")))

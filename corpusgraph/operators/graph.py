@@ -94,10 +94,13 @@ def siblings(edges: DataFrame, seeds: DataFrame, limit: int = 5) -> DataFrame:
     return _first_per_seed(pairs, limit)
 
 
-def same_file(chunks: DataFrame, seeds: DataFrame, limit: int, kinds: list[str] | None = None) -> DataFrame:
-    """Up to ``limit`` other chunks of the same file, optionally of some kinds only."""
+def same_file(chunks: DataFrame, seeds: DataFrame, limit: int | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """The other chunks of the same file (the first ``limit`` if given), optionally of some kinds only."""
     pool = chunks if kinds is None else chunks.filter(kind_of(F.col("node_type")).isin(kinds))
     mine = seeds.select("query_id", "id").join(chunks.select("id", "file_path"), "id")
+    if limit is None:
+        return (mine.join(pool.select("file_path", F.col("id").alias("other_id")), "file_path")
+                .filter(F.col("other_id") != F.col("id")).select("query_id", "id", "other_id").distinct())
     first = Window.partitionBy("file_path").orderBy("id")
     pool = (
         pool.select("file_path", "id").join(mine.select("file_path").distinct(), "file_path", "left_semi").withColumn("_r", F.row_number().over(first))
@@ -128,6 +131,19 @@ def chunk_context(edges: DataFrame, chunks: DataFrame, seeds: DataFrame) -> Data
     return _union([p.select("query_id", "id", "context_type", "other_id", "depth") for p in parts])
 
 
+def union_related(edges: DataFrame, chunks: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(query_id, id, other_id)``: nodes one or two relationships away in either direction, similar or
+    dependent ones, and all other chunks of the same file."""
+    s = seeds.select("query_id", "id").distinct()
+    pair = lambda e: e.select("src", "dst").union(e.select(F.col("dst"), F.col("src"))).distinct()
+    walk = pair(edges.filter(F.col("rel").isin(CALL_RELS + IMPORT_RELS + ["CHILD_OF", "PARENT_OF"])))
+    like = pair(edges.filter(F.col("rel").isin("SIMILAR_TO", "DEPENDS_ON")))
+    one = s.join(walk.toDF("id", "other_id"), "id")
+    two = one.withColumnRenamed("other_id", "src").join(walk, "src").withColumnRenamed("dst", "other_id")
+    near = [x.select("query_id", "id", "other_id") for x in (one, two, s.join(like.toDF("id", "other_id"), "id"))]
+    return _union([*near, same_file(chunks, s)]).filter("id <> other_id").distinct()
+
+
 def related_seeds(names: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(query_id, id)``: chunks named so, filed so, or whose content contains the name."""
     n = names.select("query_id", "name").distinct()
@@ -225,13 +241,12 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, limit: int = 5) ->
     """Up to ``limit`` directed paths of 1..``depth`` hops per seed, shortest first, then by node ids.
 
     An edge is used at most once and the end differs from the start.  A seed stops growing once it
-    has enough paths, and a node's edges beyond the first few (in id order) can never be among the
-    first ``limit`` extensions: of any path's next edges at most ``depth - 1`` are already used, and
-    those leading back to the start are at most the number of relationship kinds.
+    has enough paths, and edges to targets beyond a node's first few (in id order) can never be among
+    the first ``limit`` extensions: of those targets one may be the start, and at most ``depth - 1``
+    can be used up.  All relationship kinds to a kept target stay.
     """
-    kinds = len(WALK_RELS) + len(LIKENESS_RELS)
-    room = limit + (depth - 1) + kinds
-    w = Window.partitionBy("src").orderBy("dst", "rel")
+    room = limit + 1 + (depth - 1)
+    w = Window.partitionBy("src").orderBy("dst")
     pairs = edges.select("src", "dst", "rel")
     s = seeds.select("query_id", "id").distinct()
     front = s.select("query_id", "id", F.col("id").alias("_at"), F.array("id").alias("path"),
@@ -240,7 +255,7 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, limit: int = 5) ->
     for hop in range(1, depth + 1):
         near = (
             pairs.join(front.select(F.col("_at").alias("src")).distinct(), "src", "left_semi").distinct()
-            .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= room)
+            .withColumn("_r", F.dense_rank().over(w)).filter(F.col("_r") <= room)
             .select(F.col("src").alias("_at"), F.col("dst").alias("_next"), "rel"))
         longer = (
             front.join(near, "_at")

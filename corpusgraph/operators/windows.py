@@ -38,11 +38,11 @@ def topk(df: DataFrame, keys: list[str], order: list[Column | str], n: int | Col
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
 
 
-def round_robin(df: DataFrame, limit: int, keys: tuple[str, ...] = ("query_id",),
+def round_robin(df: DataFrame, limit: int | Column, keys: tuple[str, ...] = ("query_id",),
                 path_col: str = "file_path", rank_col: str = "rank") -> DataFrame:
     """Spread a ranked list over (extension, folder) groups, one row per group and pass.
 
-    Lists no longer than ``limit`` keep their order.
+    Lists no longer than ``limit`` keep their order.  As a column, ``limit`` may differ between lists.
     """
     key_list = list(keys)
     grouped = df.withColumn(
@@ -125,11 +125,9 @@ def distinct_terms(terms: Column, limit: int = 20) -> Column:
 
 
 def merge_context(context: DataFrame) -> DataFrame:
-    """One list per (query, context type): the context rows of all its results, first seen first."""
-    return (
-        context.groupBy("query_id", "context_type")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "depth", "other_id"))).alias("_r"))
-        .select("query_id", "context_type", F.transform("_r", lambda r: r["other_id"]).alias("ids")))
+    """``(query_id, context_type, position, other_id)``: the context rows of all results, first seen first."""
+    w = Window.partitionBy("query_id", "context_type").orderBy("rank", "depth", "other_id", "id")
+    return context.select("query_id", "context_type", F.row_number().over(w).alias("position"), "other_id")
 
 
 def exclude_seen(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:

@@ -96,7 +96,14 @@ SELECT query_id, id, other_id FROM (
 _ARCH = "AND regexp_replace(b.node_type, '_(definition|statement)$', '') IN ('class', 'module', 'interface')"
 
 
-@query("jn9_same_file_join", "nodes", "selection",
+@query("jn9_same_file_join", "nodes", "selection", sql="""
+SELECT DISTINCT s.query_id, s.id, b.id AS other_id FROM selection s JOIN nodes a ON a.id = s.id
+JOIN nodes b ON b.file_path = a.file_path AND b.id <> a.id""")
+def jn9_all(d):
+    return graph.same_file(d.nodes, d.selection)
+
+
+@query("jn9_same_file_kinds", "nodes", "selection",
        sql=_SAME_FILE.format(seeds="selection", nodes="nodes", n=3, cond=_ARCH))
 def jn9(d):
     return graph.same_file(d.nodes, d.selection, 3, ["class", "module", "interface"])
@@ -241,10 +248,10 @@ def jn6(d):
 @query("gr12_data_flow", "edges", "nodes", "selection", sql="""
 , t AS (SELECT query_id, src, dst, rel FROM selection JOIN edges ON src = id WHERE rel IN ('CALLS', 'IMPORTS')
         UNION SELECT query_id, src, dst, rel FROM selection JOIN edges ON dst = id WHERE rel IN ('CALLS', 'IMPORTS'))
-, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, dst, rel) AS rank FROM t)
+, r AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, dst, rel) AS rank FROM t) WHERE rank <= 20)
 SELECT query_id, rank, src, dst, a.name AS src_name, a.file_path AS src_file, a.node_type AS src_type, b.name AS dst_name,
        b.file_path AS dst_file, b.node_type AS dst_type, rel, CASE rel WHEN 'CALLS' THEN 'outbound' ELSE 'import' END AS flow_direction
-FROM r JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE rank <= 20""")
+FROM r JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst""")
 def gr12(d):
     return graph.data_flow(d.edges, d.nodes, d.selection)
 
@@ -256,16 +263,21 @@ def gr14(d):
     return d.edges.select("src", "dst", graph.relationship_label(F.col("rel")).alias("label"), "weight")
 
 
-@query("so3_union_related", "chunks", "doc_edges", sql="""
-SELECT id, dst AS other_id FROM chunks JOIN doc_edges ON src = id WHERE rel IN ('CALLS', 'CALLED_BY', 'IMPORTS', 'IMPORTED_BY')
-UNION (""" + _SAME_FILE.format(seeds="(SELECT id AS query_id, id FROM chunks)", nodes="chunks", n=3, cond="").replace("SELECT query_id, id, other_id", "SELECT id, other_id", 1) + ")")
+_RELATED_RELS = ["CALLS", "CALLED_BY", "IMPORTS", "IMPORTED_BY", "CHILD_OF", "PARENT_OF"]
+
+
+@query("so3_union_related", "chunks", "doc_edges", sql=f"""
+, ways AS (SELECT src AS a, dst AS b, rel FROM doc_edges UNION SELECT dst, src, rel FROM doc_edges)
+, walk AS (SELECT DISTINCT a, b FROM ways WHERE rel IN ({str(_RELATED_RELS)[1:-1]}))
+SELECT a AS id, b AS other_id FROM walk JOIN chunks ON a = id WHERE a <> b
+UNION SELECT x.a, y.b FROM walk x JOIN walk y ON x.b = y.a JOIN chunks ON x.a = id WHERE x.a <> y.b
+UNION SELECT a, b FROM ways JOIN chunks ON a = id WHERE rel IN ('SIMILAR_TO', 'DEPENDS_ON') AND a <> b
+UNION SELECT x.id, y.id FROM chunks x JOIN chunks y ON x.file_path = y.file_path AND x.id <> y.id""")
 def so3(d):
-    seeds = own_seeds(d.chunks)
-    return graph.neighbours(d.doc_edges, seeds).select("id", "other_id").unionByName(
-        graph.same_file(d.chunks, seeds, 3).select("id", "other_id")).distinct()
+    return graph.union_related(d.doc_edges, d.chunks, own_seeds(d.chunks)).select("id", "other_id")
 
 
 @query("st3_depth_order", "edges", "nodes", sql=_WALK.format(rel="CHILD_OF", levels=_levels(5, _ALL_NODES)) +
-       " ORDER BY depth, other_id, id LIMIT 500")
+       " ORDER BY depth, other_id, id")
 def st3(d):
-    return graph.ancestors(d.edges, own_seeds(d.nodes)).orderBy("depth", "other_id", "id").limit(500)
+    return graph.ancestors(d.edges, own_seeds(d.nodes)).orderBy("depth", "other_id", "id")

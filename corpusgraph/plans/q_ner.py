@@ -125,14 +125,14 @@ def ag22_entities(d):
 
 
 def list_entities(d):
-    """Entities of each question, asked of one of the seven result lists."""
-    e = ner.extract_entities(d.questions).filter(F.length("text") > 3)
-    return e.withColumn("query_id", F.col("query_id") % 7).select("query_id", "text", "type").distinct()
+    """Entities of each question; fifteen conversations ask of one result list."""
+    e = ner.extract_entities(d.questions)
+    return e.withColumn("query_id", F.expr("query_id div 15000")).select("query_id", "text", "type").distinct()
 
 
 _LISTED = _RES.replace("node_type, name, start_line,", "node_type, name, start_line, content,")
 _LE = """
-, le AS (SELECT DISTINCT query_id % 7 AS query_id, text, type FROM entities WHERE length(text) > 3)
+, le AS (SELECT DISTINCT query_id // 15000 AS query_id, text, type FROM entities)
 """
 
 
@@ -167,11 +167,9 @@ _FLAGS = ", ".join(f"CASE WHEN bool_or(contains(lower(name), {S.lit(w)})) THEN {
 
 
 @query("ag17_pattern_flags", "chunks", "questions", ctes=_LISTED, sql=_ENTITIES + _LE + f"""
-, t AS (SELECT query_id, bool_or(type = 'class') AND bool_or(type = 'concept') AS oo FROM le GROUP BY 1)
+, t AS (SELECT query_id, bool_or(type = 'class') AND bool_or(type = 'interface') AS oo FROM le GROUP BY 1)
 , n AS (SELECT query_id, [{_FLAGS}] AS f FROM ranked GROUP BY query_id)
 SELECT query_id, array_to_string(list_filter(list_concat([CASE WHEN oo THEN {S.lit(A.OBJECT_PATTERN)} END], f), lambda x: x IS NOT NULL), '|') AS patterns
 FROM n LEFT JOIN t USING (query_id)""")
 def ag17(d):
-    # interfaces are rare in the questions: concepts stand in for them
-    e = list_entities(d).withColumn("type", F.when(F.col("type") == "concept", "interface").otherwise(F.col("type")))
-    return joined(stats.pattern_flags(results(d), e), "patterns")
+    return joined(stats.pattern_flags(results(d), list_entities(d)), "patterns")

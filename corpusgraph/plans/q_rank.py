@@ -14,6 +14,7 @@ from corpusgraph.plans.q_retrieval import _COS
 from corpusgraph.plans.q_stats import _RES, joined, results, rounded
 from corpusgraph.plans.q_text import _ENT, intent_sql
 from corpusgraph.rules import area_rules as A
+from corpusgraph.session import materialize
 from corpusgraph.rules import query_rules as R
 
 _KIND = "regexp_replace(node_type, '_(definition|statement)$', '')"
@@ -63,22 +64,9 @@ def ret4(d):
     return fused(d)
 
 
-_PREP = f"""
-, prep AS (SELECT e.query_id, e.functions, e.classes, i.intent, i.intent_confidence FROM ({_ENT}) e JOIN {intent_sql('questions', keep='query_id')} i USING (query_id))
-, qn AS (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS n FROM prep)
-"""
-
-
-def prepared(d):
-    """Classified questions, numbered 0.. in query order (an equi key to the search results)."""
-    q = questions.code_entities(questions.classify_intent(d.questions))
-    counts = q.select("query_id").withColumn("conv", F.floor(F.col("query_id") / 1000))
-    return q.join(counts, "query_id")
-
-
 @query("ret5_intent_boost", "vectors", "chunks", "questions", sql=_FUSED + f"""
-, prep AS (SELECT e.query_id, e.functions, e.classes, i.intent, i.intent_confidence FROM ({_ENT}) e JOIN {intent_sql('questions', keep='query_id')} i USING (query_id) WHERE e.query_id % 1000 = 0)
-, j AS (SELECT t.query_id, t.id, {_KIND} AS kind, name, score, intent, intent_confidence, functions, classes FROM top t JOIN prep p ON p.query_id = t.query_id * 1000 JOIN chunks USING (id))
+, prep AS (SELECT e.query_id, e.functions, e.classes, i.intent, i.intent_confidence FROM ({_ENT}) e JOIN {intent_sql('questions', keep='query_id')} i USING (query_id))
+, j AS (SELECT p.query_id, t.id, {_KIND} AS kind, name, score, intent, intent_confidence, functions, classes FROM top t JOIN prep p ON p.query_id // 1000 = t.query_id JOIN chunks USING (id))
 , s AS (SELECT query_id, id, round(score * CASE WHEN intent = 'architecture' AND kind IN ('class', 'module') THEN 1.2e0 WHEN intent = 'implementation' AND kind IN ('function', 'method') THEN 1.2e0
    WHEN intent = 'functionality' AND kind IN ('function', 'class', 'method') THEN 1.1e0 ELSE 1 END
    * CASE WHEN len(list_filter(functions, lambda x: contains(lower(name), lower(x)))) > 0 THEN 1.3e0 ELSE 1 END
@@ -86,9 +74,10 @@ def prepared(d):
    * CASE WHEN intent_confidence > 0.7 THEN 1 + (intent_confidence - 0.7e0) * 0.5e0 ELSE 1 END, 6) AS score FROM j)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM s""")
 def ret5(d):
-    q = questions.code_entities(questions.classify_intent(d.questions)).filter("query_id % 1000 = 0").withColumn(
-        "query_id", F.floor(F.col("query_id") / 1000))
-    return rank.intent_boost(fused(d), q, d.chunks)
+    q = questions.code_entities(questions.classify_intent(d.questions))
+    turns = q.select("query_id", F.expr("query_id div 1000").alias("conv"))
+    found = fused(d).withColumnRenamed("query_id", "conv").join(turns, "conv").drop("conv")
+    return rank.intent_boost(found, q, d.chunks)
 
 
 _HITS_BY_SOURCE = """
@@ -257,11 +246,13 @@ def ret11(d):
 
 
 @query("so4_merge_context", "chunks", "doc_edges", ctes=_RES, sql=_CONTEXT.replace("(SELECT project_id AS query_id, id FROM chunks)", "(SELECT query_id, id FROM ranked WHERE rank <= 20)") + """
-SELECT query_id, context_type, string_agg(other_id, '|' ORDER BY rank, depth, other_id) AS ids FROM context JOIN ranked USING (query_id, id) GROUP BY ALL""")
+SELECT query_id, context_type, row_number() OVER (PARTITION BY query_id, context_type ORDER BY rank, depth, other_id, id) AS position, other_id
+FROM context JOIN ranked USING (query_id, id)""")
 def so4(d):
-    top = results(d).filter("rank <= 20").select("query_id", "id", "rank")
+    # a search returns twenty results; their ranks are stored once
+    top = materialize(results(d).filter("rank <= 20").select("query_id", "id", "rank"), "top")
     context = graph.chunk_context(d.doc_edges, d.chunks, top)
-    return joined(windows.merge_context(context.join(top, ["query_id", "id"])), "ids")
+    return windows.merge_context(context.join(top, ["query_id", "id"]))
 
 
 # ---- categories, importance and chunk descriptions ----

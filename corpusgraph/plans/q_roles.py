@@ -18,10 +18,10 @@ from corpusgraph.rules import role_rules as R
 from corpusgraph.session import materialize
 
 _ROLE_LIST = S.list_of(R.ROLES)
-# the question table asks of the seven result lists in turn: list = query_id % 7
+# fifteen conversations ask of one result list
 _TEXT = f"""
 , head AS (SELECT query_id, string_agg(lower(content), ' ' ORDER BY rank) AS code, string_agg(lower(file_path), chr(10) ORDER BY rank) AS paths FROM ranked WHERE rank <= 10 GROUP BY 1)
-, qt AS (SELECT q.query_id, lower(query) AS q, code, paths FROM questions q JOIN head h ON h.query_id = q.query_id % 7)
+, qt AS (SELECT q.query_id, lower(query) AS q, code, paths FROM questions q JOIN head h ON h.query_id = q.query_id // 15000)
 """
 
 
@@ -46,7 +46,7 @@ _SCORES = _TEXT + f"""
 def asked(d):
     """The questions with the first ten chunks of the list each one asks of."""
     lists = results(d).filter("rank <= 10").withColumnRenamed("query_id", "list_no")
-    q = d.questions.withColumn("list_no", F.col("query_id") % 7)
+    q = d.questions.withColumn("list_no", F.expr("query_id div 15000"))
     return q.select("query_id", "query"), q.select("query_id", "list_no").join(lists, "list_no").drop("list_no")
 
 
@@ -121,13 +121,12 @@ def cl11_query(d):
 
 
 @query("cl12_fallback_slices", "chunks", ctes=_LISTED, sql=f"""
-, rr AS (SELECT query_id, n, role, position - 1 AS i, 12 AS r FROM (SELECT query_id, count(*) AS n FROM ranked WHERE rank <= 20 + query_id * 15 GROUP BY 1), (SELECT unnest({_ROLE_LIST}) AS role, unnest(range(1, 13)) AS position))
+, rr AS (SELECT query_id, n, role, position - 1 AS i, 12 AS r FROM (SELECT query_id, count(*) AS n FROM ranked GROUP BY 1), (SELECT unnest({_ROLE_LIST}) AS role, unnest(range(1, 13)) AS position))
 , p AS (SELECT *, greatest(15, n // r) AS per FROM rr)
-SELECT p.query_id, role, rank, id FROM p JOIN ranked ON ranked.query_id = p.query_id AND rank <= 20 + p.query_id * 15
+SELECT p.query_id, role, rank, id FROM p JOIN ranked ON ranked.query_id = p.query_id
 WHERE CASE WHEN i * per < n THEN rank - 1 >= i * per AND rank - 1 < (i + 1) * per WHEN ceil((n - i) / r::DOUBLE) < 3 THEN rank <= 3 ELSE rank - 1 >= i AND (rank - 1 - i) % r = 0 AND (rank - 1 - i) // r < 15 END""")
 def cl12(d):
-    lists = results(d).filter("rank <= 20 + query_id * 15")
-    return roles.fallback_slices(list_roles(d).withColumn("n_roles", F.lit(12)), lists)
+    return roles.fallback_slices(list_roles(d).withColumn("n_roles", F.lit(12)), results(d))
 
 
 _T3 = """
@@ -176,6 +175,19 @@ def cl14(d):
     return joined(roles.stage_flow(cats), "steps")
 
 
+@query("st4_flow_order", "chunks", ctes=_LISTED, sql=_CATEGORY + f"""
+SELECT query_id, o AS position, label FROM (SELECT DISTINCT query_id, o, label FROM ranked JOIN cat USING (id)
+  JOIN (SELECT unnest(range(1, {len(A.FLOW_STAGES) + 1})) AS o, unnest({S.list_of([x[1] for x in A.FLOW_STAGES])}) AS label, unnest([{', '.join(S.list_of(x[2]) for x in A.FLOW_STAGES)}]) AS members)
+    ON list_contains(members, category))""")
+def st4(d):
+    cats = results(d).select("query_id", C.category_of(F.col("file_path"), F.col("content"), F.col("name")).alias("category"))
+    stages = F.array(*[F.struct(F.lit(i + 1).cast("long").alias("position"), F.lit(label).alias("label"),
+                                F.array(*[F.lit(m) for m in members]).alias("members"))
+                       for i, (_, label, members) in enumerate(A.FLOW_STAGES)])
+    return (cats.distinct().select("query_id", "category", F.inline(stages)).filter(F.array_contains("members", F.col("category")))
+            .select("query_id", "position", "label").distinct().orderBy("query_id", "position"))
+
+
 def _fill(template: str) -> str:
     a, b, c = template.split("{}")
     return f"{S.lit(a)} || name || {S.lit(b)} || f || {S.lit(c)}"
@@ -234,14 +246,14 @@ def ag24(d):
     return rounded(joined(stats.perspective_quality(findings(d)), "focus_areas"))
 
 
-_ASSIGNED = f"""assigned AS (SELECT doc_id % 7 AS query_id, ({_ROLE_LIST})[doc_id % 5 + 1] AS role, id, file_path FROM chunks
-  UNION ALL SELECT doc_id % 7, 'testing', id, file_path FROM chunks WHERE doc_id % 11 = 0)"""
+_ASSIGNED = f"""assigned AS (SELECT doc_id // 150 AS query_id, ({_ROLE_LIST})[doc_id % 5 + 1] AS role, id, file_path FROM chunks
+  UNION ALL SELECT doc_id // 150, 'testing', id, file_path FROM chunks WHERE doc_id % 11 = 0)"""
 
 
 def assigned(d):
     k = F.col("doc_id")
     names = F.array(*[F.lit(r) for r in R.ROLES])
-    base = d.chunks.select((k % 7).alias("query_id"), F.get(names, (k % 5).cast("int")).alias("role"), "id", "file_path", "doc_id")
+    base = d.chunks.select(F.expr("doc_id div 150").alias("query_id"), F.get(names, (k % 5).cast("int")).alias("role"), "id", "file_path", "doc_id")
     again = base.filter("doc_id % 11 = 0").withColumn("role", F.lit("testing"))
     return base.unionByName(again).drop("doc_id")
 
@@ -282,7 +294,7 @@ def ret15_roles(d):
 # ---- widening short lists ----
 
 _SHORT = """
-, init AS (SELECT query_id, rank, id, file_path FROM ranked WHERE rank <= 5 + query_id * 6)
+, init AS (SELECT query_id, rank, id, file_path FROM ranked WHERE rank <= 5 + query_id % 7 * 6)
 """
 _SEARCHES = _SHORT + _COVER.replace("FROM ranked", "FROM init").strip() + f"""
 , n AS (SELECT query_id, 30 - count(*) AS short FROM init GROUP BY 1)
@@ -293,7 +305,7 @@ _SEARCHES = _SHORT + _COVER.replace("FROM ranked", "FROM init").strip() + f"""
 
 
 def short_lists(d):
-    init = results(d).filter("rank <= 5 + query_id * 6")
+    init = results(d).filter("rank <= 5 + query_id % 7 * 6")
     q = init.select("query_id").distinct().select(
         "query_id", F.concat(F.lit("list "), F.col("query_id").cast("string")).alias("query"), F.lit(30).alias("target"))
     return init, q

@@ -130,14 +130,14 @@ def wn2(d):
 
 
 _RANKED = """ranked AS (
-  SELECT doc_id % 7 AS query_id, id, file_path,
-         row_number() OVER (PARTITION BY doc_id % 7 ORDER BY length(content) DESC, id) AS rank FROM chunks)"""
+  SELECT doc_id // 150 AS query_id, id, file_path,
+         row_number() OVER (PARTITION BY doc_id // 150 ORDER BY length(content) DESC, id) AS rank FROM chunks)"""
 
 
 def ranked(d):
-    """Every chunk in one of seven result lists, longest first."""
+    """Result lists of 150 documents each, longest chunk first."""
     return windows.topk(
-        d.chunks.withColumn("query_id", F.col("doc_id") % 7), ["query_id"],
+        d.chunks.withColumn("query_id", F.expr("doc_id div 150")), ["query_id"],
         [F.desc(F.length("content")), F.asc("id")], F.lit(2**31 - 1)).select("query_id", "id", "file_path", "rank")
 
 
@@ -188,9 +188,9 @@ def wn7(d):
 
 
 @query("st2_sort_two_keys", sql="""
-SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size DESC, p_retailprice DESC, p_partkey LIMIT 50""")
+SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size DESC, p_retailprice DESC, p_partkey""")
 def st2(d):
-    return windows.page(d.part, [F.desc("p_size"), F.desc("p_retailprice"), F.asc("p_partkey")], 0, 50).select(
+    return d.part.orderBy(F.desc("p_size"), F.desc("p_retailprice"), "p_partkey").select(
         "p_partkey", "p_size", "p_retailprice")
 
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from corpusgraph.plans import catalog
 from corpusgraph.sources.derived import BASE_TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,7 +14,8 @@ SAMPLE = ["ret1_cosine_topk", "ret4_fuse_rerank", "gr5_chunk_context", "ag8_usag
 
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    assert set(catalog.spark_queries()) <= set(entry.queries())
+    without = set(catalog.spark_queries()) - set(catalog.check_sql())
     assert without == {"ret2_approx_topk", "ret2_recall", "ud1_embed", "ud2_hash_embed", "cl9_assign_unique",
                        "cl11_role_retrieval", "tx17_parse_sections", "ret15_role_document"}
 

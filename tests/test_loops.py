@@ -187,7 +187,7 @@ def test_paths_equal_full_enumeration(spark):
     assert rows(got, "id", "path_no", "path") == sorted(want)
 
 
-def test_keyword_search_both_forms(spark):
+def test_keyword_search_equals_loop(spark):
     rng = random.Random(17)
     vocab = ["load", "a", "parse", "on", "parser", "x.py", "the", "main"]
     chunks = [(f"c{i:02d}", " ".join(rng.choices(vocab, k=6)), f"src/{rng.choice(vocab)}", rng.choice(vocab)) for i in range(25)]
@@ -206,12 +206,32 @@ def test_keyword_search_both_forms(spark):
     assert rows(rank.keyword_search(q, c, 4, max_words=0), "query_id", "rank", "id") == sorted(want)
 
 
-def test_substring_join_both_forms(spark):
-    texts = spark.createDataFrame([(1, "abcabd"), (2, "xx yé z"), (3, ""), (4, "b")], "k int, t string")
-    words = spark.createDataFrame([("ab",), ("b",), ("yé",), ("abd",), ("q",), ("xx yé z",)], "w string")
-    want = [(1, "ab"), (1, "abd"), (1, "b"), (2, "xx yé z"), (2, "yé"), (4, "b")]
-    assert rows(filters.substring_join(texts, "k", "t", words, "w"), "k", "w") == want
-    assert rows(filters.substring_join(texts, "k", "t", words, "w", shared=0), "k", "w") == want
+def test_substring_join_equals_loop(spark):
+    texts = [(1, "abcabd"), (2, "xx yé z"), (3, ""), (4, "b"), (5, "a  b\tc"), (5, "ab"), (6, None)]
+    words = ["ab", "b", "yé", "abd", "q", "xx yé z", " ", "  ", "b\tc", "", "a b"]
+    want = sorted({(k, w) for k, t in texts for w in words if w and w in (t or "")})
+    for shared in (0, filters.SHARED_PATTERNS):
+        got = rows(filters.substring_join(spark.createDataFrame(texts, "k int, t string"), "k", "t",
+                                          spark.createDataFrame([(w,) for w in words + ["ab"]], "w string"), "w", shared), "k", "w")
+        assert got == want
+
+
+def test_paths_with_many_relationship_kinds(spark):
+    """Twenty kinds of edges back to the start do not push out the paths that count."""
+    edges = [("a", "b", "CALLS")] + [("b", "a", f"R{i:02}") for i in range(20)] + [("b", f"z{i}", "CALLS") for i in range(5)]
+    df = spark.createDataFrame(edges, "src string, dst string, rel string")
+    seeds = spark.createDataFrame([(1, "a")], "query_id int, id string")
+    got = [tuple(r["path"]) for r in graph.paths(df, seeds).orderBy("path_no").collect()]
+    assert got == [("a", "b")] + [("a", "b", f"z{i}") for i in range(4)]
+
+
+def test_round_robin_with_a_limit_per_list(spark):
+    data = [(q, i + 1, f"{q}-{i}", f"d{i % 3}/f.py") for q in range(3) for i in range(9)]
+    df = spark.createDataFrame(data, "query_id int, rank int, id string, file_path string").withColumn(
+        "most", F.col("query_id") + 2)
+    got = rows(windows.round_robin(df, F.col("most")), "query_id", "position", "id")
+    assert got == [(q, p, i) for q in range(3)
+                   for _, p, i in rows(windows.round_robin(df.filter(F.col("query_id") == q), q + 2), "query_id", "position", "id")]
 
 
 def test_running_mean_and_sum(spark):
