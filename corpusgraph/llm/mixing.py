@@ -25,14 +25,16 @@ SLOTS = 1 << 17
 TRAIN_DOCS = 20_000
 #: Documents' worth of prior that a word's domain shares are shrunk to.
 PRIOR = 2.0
-#: A word counts only if it is in MIN_DOCS sampled documents and one domain differs from its expectation by this chi-square.
-SIGNIFICANT, MIN_DOCS = 20.0, 4
+#: A word counts only if it is in MIN_DOCS sampled documents, one domain differs from its expectation by this chi-square, and
+#: the odds of a minority domain are RATIO times as high with the word. Weaker words, such as those of one language, would add up.
+SIGNIFICANT, MIN_DOCS, RATIO = 20.0, 4, 6.0
 #: Besides whole words, their first bytes are features.
 PREFIX = 4
 DOMAINS = ["good", "low", "toxic"]
 #: Shares of all tokens that each domain shall have.
-TARGETS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
+TARGETS = {"good": 0.7, "low": 0.3, "toxic": 0.0}
 MAX_ITERATIONS, TOLERANCE = 60, 1e-4
+INTERCEPT_STEPS = 200
 
 
 def domain_column() -> Column:
@@ -65,18 +67,19 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
-    """(domains x slots + 1) log odds of words against the background; the last column holds the log priors.
+    """(domains x slots + 1) log odds of words against the background; the last column holds the intercepts.
 
     Naive Bayes on word presence over at most about ``train_docs`` labelled documents, chosen by a hash of doc_id. The
-    driver receives at most domains x slots counts.
+    intercepts are fitted so that the sample's mean posteriors are its domain shares: so the absence of all telling words
+    counts too. The driver receives at most domains x slots counts and the sample's scores.
     """
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_column().alias("domain"))
              .filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.max("domain").alias("domain")))
     share = min(1.0, train_docs / max(known.count(), 1))
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     # the sample is bounded by train_docs, so that it may be broadcast
-    rows = (docs.filter("text is not null").join(F.broadcast(picked), "doc_id").select("text", "domain")
-            .mapInArrow(_count_slots, "domain long, slot long, n long")
+    sample = docs.filter("text is not null").join(F.broadcast(picked), "doc_id").select("text", "domain")
+    rows = (sample.mapInArrow(_count_slots, "domain long, slot long, n long")
             .groupBy("domain", "slot").agg(F.sum("n").alias("n")).toPandas())
     counts = np.zeros((len(DOMAINS), SLOTS + 1))
     counts[rows["domain"].to_numpy(), rows["slot"].to_numpy()] = rows["n"].to_numpy()
@@ -87,8 +90,41 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
     apart = ((words_ - expected) ** 2 / np.maximum(expected, 1e-9)).max(axis=0)
     # P(word | domain) / P(word) = P(domain | word) / P(domain); a word without evidence says nothing
     odds = np.log((words_ + PRIOR * prior) / (seen + PRIOR)) - np.log(prior)
-    odds[:, (seen < MIN_DOCS) | (apart < SIGNIFICANT)] = 0.0
-    return np.hstack([odds, np.log(prior)])
+    share = np.exp(odds) * prior
+    ratio = share / np.maximum(1 - share, 1e-9) / (prior / (1 - prior))
+    telling = ((ratio >= RATIO) & (prior <= 0.5)).any(axis=0)
+    odds[:, (seen < MIN_DOCS) | (apart < SIGNIFICANT) | ~telling] = 0.0
+    model = np.hstack([odds, np.log(prior)])
+    if not size.sum():
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(np.hstack([odds, np.zeros((len(DOMAINS), 1))]))
+    scores = sample.mapInArrow(_sample_scores(shared), ", ".join(f"s{i} double" for i in range(len(DOMAINS)))).toPandas().to_numpy()
+    for _ in range(INTERCEPT_STEPS):
+        mean = _softmax(scores + model[:, SLOTS]).mean(axis=0)
+        model[:, SLOTS] += np.log(prior[:, 0] / np.maximum(mean, 1e-12))
+    return model
+
+
+def _scores(data: np.ndarray, offsets: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x domains) scores of a block, and the number of words of each row."""
+    row, slot, size = _slots(data, offsets)
+    return np.stack([np.bincount(row, o[slot], minlength=len(size)) + o[SLOTS] for o in odds], axis=1), size
+
+
+def _softmax(score: np.ndarray) -> np.ndarray:
+    score = np.exp(score - score.max(axis=1, keepdims=True))
+    return score / score.sum(axis=1, keepdims=True)
+
+
+def _sample_scores(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_blocks(batch):
+                score, _ = _scores(data, offsets, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(score[:, i]) for i in range(len(DOMAINS))],
+                                                 names=[f"s{i}" for i in range(len(DOMAINS))])
+
+    return run
 
 
 def _posteriors(shared):
@@ -97,11 +133,9 @@ def _posteriors(shared):
         for batch in batches:
             tokens, probabilities = [], []
             for _, data, offsets in text_blocks(batch):
-                row, slot, size = _slots(data, offsets)
-                score = np.stack([np.bincount(row, o[slot], minlength=len(size)) + o[SLOTS] for o in odds], axis=1)
-                score = np.exp(score - score.max(axis=1, keepdims=True))
+                score, size = _scores(data, offsets, odds)
                 tokens.append(size)
-                probabilities.append(score / score.sum(axis=1, keepdims=True))
+                probabilities.append(_softmax(score))
             flat = np.concatenate(probabilities) if probabilities else np.zeros((0, len(DOMAINS)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.concatenate(tokens) if tokens else [], pa.int64()),
@@ -210,10 +244,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 def apply_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with ``rate`` and ``copies``, the whole number of times a document is to be seen.
 
-    The fraction of a rate is rounded by a hash of doc_id, so that totals are kept on average; documents with no copy go.
+    The fraction of a rate is rounded by a hash of doc_id, so that totals are kept on average, but a document with a rate of
+    one half or more keeps a copy. Documents with no copy go.
     """
     found = (mix(docs, labels, targets).groupBy("doc_id").agg(F.max("rate").alias("rate"))
-             .withColumn("copies", F.floor(F.col("rate") + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20))))
+             .withColumn("copies", F.greatest(
+                 F.floor(F.col("rate") + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)),
+                 (F.col("rate") >= 0.5).cast("long"))))
     used = {c.lower() for c in docs.columns}
     rate, copies = (c if c not in used else f"mixing_{c}" for c in ("rate", "copies"))
     kept = found.filter("copies > 0").select(F.col("doc_id").alias("key"), F.col("rate").alias("r"), F.col("copies").alias("c"))
