@@ -86,15 +86,14 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
         names = sorted(set(langs))
         code = np.array([names.index(x) for x in langs])
-        found: list[list[np.ndarray]] = [[] for _ in names]
-        for rows, data, offsets in text_blocks(batch, limit=_BLOCK):
+        for rows, data, offsets in text_blocks(batch):
             row, value, _ = grams(data, offsets)
-            for k in np.unique(code[rows]):
-                found[k].append(value[code[rows][row] == k])
-        for k, parts in enumerate(found):
-            value, times = np.unique(np.concatenate(parts) if parts else np.zeros(0, U64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(value), pa.string()), pa.array(signed(value)),
-                                              pa.array(times.astype(np.int64))], names=["lang", "gram", "n"])
+            owner = code[rows][row]
+            for k in np.unique(owner):
+                gram, times = np.unique(value[owner == k], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[k]] * len(gram), pa.string()), pa.array(signed(gram)), pa.array(times.astype(np.int64))],
+                    names=["lang", "gram", "n"])
 
 
 @dataclass

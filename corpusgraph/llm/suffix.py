@@ -35,7 +35,8 @@ SHALLOW = 32
 #: An anchor with more different segments than this is split into single strings.
 SPLIT_ABOVE = 1000
 _NULL_ID = -(1 << 63)
-_FLUSH_BYTES = 1 << 23
+#: Bytes of pieces sorted at once; their strings take about seventy times as much.
+_FLUSH_BYTES = 1 << 21
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
