@@ -27,8 +27,10 @@ BLOCK_VECTORS = 8192
 
 
 def _matrix(values) -> np.ndarray:
-    """Row-normalised float64 matrix; zero or missing vectors stay zero (cosine 0)."""
+    """Row-normalised float64 matrix; zero or missing vectors stay zero (cosine 0); unequal lengths are an error."""
     rows = list(values)
+    if len({len(v) for v in rows if v is not None and len(v)}) > 1:
+        raise ValueError("vectors of different lengths")
     dim = max((len(v) for v in rows if v is not None), default=0)
     out = np.zeros((len(rows), dim))
     for i, v in enumerate(rows):

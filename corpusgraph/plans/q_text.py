@@ -9,6 +9,7 @@ from corpusgraph.plans import sqltext as S
 from corpusgraph.plans.catalog import query
 from corpusgraph.plans.q_stats import joined, rounded
 from corpusgraph.rules import query_rules as R
+from corpusgraph.session import spread
 
 
 def intent_sql(source: str, text: str = "query", keep: str = "query_id, query") -> str:
@@ -28,7 +29,8 @@ def tx1(d):
 @query("tx1_classify_documents", sql=f"""
 SELECT doc_id, intent, intent_confidence FROM {intent_sql('documents', 'text', 'doc_id')}""")
 def tx1_docs(d):
-    return T.classify_intent(d.documents.select("doc_id", "text"), "text").drop("text")
+    # dozens of patterns per text: spread over all cores, however few files hold the table
+    return T.classify_intent(spread(d.documents.select("doc_id", "text"), "doc_id"), "text").drop("text")
 
 
 _PHRASE = S.map_of("intent", {k: " ".join(v) for k, v in R.INTENT_PHRASES.items()})

@@ -280,8 +280,10 @@ def dependencies(name: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
-# views that stand for stored tables: written once per use, then read as often as needed
+# views that stand for stored tables: written once per session and folder, then read as often as needed (the tables of a
+# folder are taken as fixed while a session lasts)
 STORED = ("edges", "doc_edges", "nodes")
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Data:
@@ -289,15 +291,15 @@ class Data:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._stored: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in STORED:
-            if name not in self._stored:
-                self._stored[name] = materialize(self._view(name), name)
-            return self._stored[name]
+            key = (self.spark.sparkContext.applicationId, self.folder, name)
+            if key not in _WRITTEN:
+                _WRITTEN[key] = materialize(self._view(name), name)
+            return _WRITTEN[key]
         if name in VIEWS:
             return self._view(name)
         raise AttributeError(name)
