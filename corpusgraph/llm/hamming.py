@@ -8,8 +8,6 @@ most m (r + 1) - 1: nothing unseen can be closer. Equal codes are one index entr
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,11 +57,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, bits: int = BITS) -
     for radius in range(SEGMENT + 1):
         if active.isEmpty():
             break
-        masks = [sum(1 << b for b in chosen) for chosen in combinations(range(SEGMENT), radius)]
+        masks = F.expr(f"filter(sequence(0L, {(1 << SEGMENT) - 1}L), x -> bit_count(x) = {radius})")
         sides = F.array(*[F.struct(F.lit(j).alias("j"), _segment("q", j).alias("own")) for j in range(m)])
         probes = (active.select("q", "kth", F.explode(sides).alias("s"))
-                  .select("q", "kth", "s.j", "s.own", F.explode(F.lit(masks)).alias("mask"))
-                  .select("q", "kth", "j", F.col("own").bitwiseXOR(F.col("mask").cast("long")).alias("value")))
+                  .select("q", "kth", "s.j", "s.own", F.explode(masks).alias("mask"))
+                  .select("q", "kth", "j", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
         apart = [F.bit_count(_segment("differ", j)) for j in range(m)]
         counted_here = F.lit(False)
         for j in range(m):
