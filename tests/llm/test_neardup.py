@@ -90,3 +90,69 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r["class"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[101] == 100
+
+
+def star(copies, edits, seed=3):
+    """A base text and copies with edits of their own: each close to the base, less close to each other."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(copies // 2, " ".join(base))]
+    for i in range(copies + 1):
+        if i != copies // 2:
+            words = list(base)
+            for at in rng.choice(np.arange(5, 295), edits, replace=False):
+                words[at] = f"n{i}x{at}"
+            rows.append((i, " ".join(words)))
+    return rows
+
+
+def truth(rows, idf, threshold=0.8):
+    """(class, number of links) of each row by all pairs."""
+    runs = [run_of(t) for _, t in rows]
+    near = np.triu(np.ones((len(rows), len(rows)), bool), 1)
+    found = np.zeros_like(near)
+    for i, j in zip(*np.nonzero(near)):
+        found[i, j] = neardup.similarity(runs[i], runs[j], idf) >= threshold
+    ids, number = [i for i, _ in rows], found.sum(0) + found.sum(1)
+    classes = brute_classes(rows, idf, threshold)
+    return {i: (classes[i], int(k)) for i, k in zip(ids, number)}
+
+
+def test_every_copy_of_a_star_finds_its_base(spark):
+    rows = star(240, 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = truth(rows, neardup.idf_table(df))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.classes(df).collect()}
+    linked = [i for i, (_, k) in want.items() if k]
+    # banding: a pair of similarity 0.8 meets with probability 0.998
+    assert len(linked) > 200 and sum(got[i] != want[i] for i in linked) <= 2
+
+
+def test_chunks_of_a_cluster_meet(spark, monkeypatch):
+    rows = star(60, 1, seed=9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    nodes = [(i, None) for i, _ in rows]
+    runs = [run_of(t) for _, t in rows]
+    sample = np.stack([neardup._samples(np.zeros(len(v), int), v, c * 1.0)[1][0] & np.uint64(0xFFFFFFFF) for v, c in runs])
+    import pyarrow as pa
+
+    ids = sorted(i for i, _ in nodes)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1] * 61), pa.array([0] * 61), pa.array([0] * 61), pa.array(ids), pa.array([0] * 61),
+         pa.array([False] * 61), pa.array([296] * 61), pa.array([s.astype("<u4").tobytes() for s in sample])],
+        names=list("abcdefgh"))
+    pairs = []
+    for limit in (1 << 18, 3000):
+        monkeypatch.setattr(neardup, "CHUNK", limit)
+        met = []
+        for out in neardup._bucket_pass([batch]):
+            groups = {}
+            for g, d, s, c, x in zip(*(k.to_pylist() for k in out.columns)):
+                groups.setdefault(g, []).append((d, c, x))
+            for g, members in groups.items():
+                across = [np.array([m[1] for m in members])] if g.split(",")[2] == "1" else []
+                near = neardup.candidates(np.array([m[0] for m in members]), neardup._matrix([m[2] for m in members]), 0, *across)
+                met += [tuple(sorted((members[i][0], members[j][0]))) for i, j in zip(*np.nonzero(near))]
+        assert len(met) == len(set(met))
+        pairs.append(set(met))
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 1000
