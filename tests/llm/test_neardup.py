@@ -128,6 +128,13 @@ def test_every_copy_of_a_star_finds_its_base(spark):
     assert len(linked) > 200 and sum(got[i] != want[i] for i in linked) <= 2
 
 
+def test_all_parts_of_a_hot_bucket_meet(spark):
+    rows = star(240, 1, seed=8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: (r.class_id, r.n_links) for r in neardup.classes(df).collect()}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in neardup.classes(df, bucket=20).collect()} == whole
+
+
 def test_chunks_of_a_cluster_meet(spark, monkeypatch):
     rows = star(60, 1, seed=9)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
