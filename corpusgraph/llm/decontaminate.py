@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from corpusgraph.llm.blocks import U64, mix, signed, text_blocks, words
 from corpusgraph.session import materialize
 
-#: Fixed masks: 1 counts, 0 is ignored. The last one serves items too short for the others.
-MASKS = ["1101100101", "1010011011", "1110010011", "11111"]
-SHORT = len(MASKS) - 1
+#: Fixed masks: 1 counts, 0 is ignored. Every stretch that the verification accepts in an item of ``MIN_MATCH`` words or more
+#: holds a window of one of them without a substitution, whatever the pattern of the others (tests enumerate all); a shorter
+#: item must agree in all words, so that the last mask finds it.
+MASKS = ["111011", "1100001011", "111100001", "11111"]
 MIN_MATCH, MIN_IDENTITY, MISMATCH = 12, 0.75, -2
 #: Words kept on both sides of the hits of a text.
 MARGIN = 64
@@ -57,8 +58,7 @@ def _benchmark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for mask in range(len(MASKS)):
                 at, value = windows(word, first, mask)
                 row = np.searchsorted(first, at, "right") - 1
-                wanted = (size[row] < len(MASKS[0])) == (mask == SHORT)
-                for r, a, v in zip(row[wanted], (at - first[row])[wanted], signed(value)[wanted]):
+                for r, a, v in zip(row, at - first[row], signed(value)):
                     seeds[r].append({"hash": int(v), "at": int(a)})
             for r in range(len(size)):
                 yield pa.RecordBatch.from_arrays(
@@ -118,7 +118,7 @@ def _regions(shared):
                     if len(at) else np.zeros(1, int)
                 for i, j in zip(cuts[:-1], cuts[1:]):
                     r = row[i]
-                    low, high = max(first[r], at[i] - MARGIN), min(first[r + 1], at[j - 1] + len(MASKS[0]) + MARGIN)
+                    low, high = max(first[r], at[i] - MARGIN), min(first[r + 1], at[j - 1] + max(map(len, MASKS)) + MARGIN)
                     out.append((ids[rows.start + int(r)].as_py(), int(low - first[r]), signed(word[low:high]),
                                 [{"hash": int(v), "at": int(a - low)} for a, v in zip(at[i:j], value[i:j])]))
             if out:

@@ -53,3 +53,55 @@ def test_clashing_columns(documents, spark):
     bench = spark.createDataFrame([(1, prose(rng, "en", 30), 5)], "item_id long, text string, doc_id long")
     kept = decontaminate.keep_clean(documents, bench)
     assert kept.columns == documents.columns
+
+
+def test_every_accepted_pattern_of_substitutions_holds_a_seed():
+    """Best sums of agree - 3 x differ (0 is an identity of 75 %) over all strings without a seed, by their last bits."""
+    masks = [(int(m, 2), len(m)) for m in decontaminate.MASKS]
+    bits = max(n for _, n in masks) - 1
+    state, low = np.arange(1 << bits), -10**6
+    best = np.full((decontaminate.MIN_MATCH + 1, 1 << bits), low)
+    best[0, 0] = 0
+    # a string gains at most what one with nothing before it gains, so that the sums never come back from -100
+    top = 0
+    while best.max() > -100:
+        new = np.full_like(best, low)
+        for bit, gain in ((0, -3), (1, 1)):
+            full = state << 1 | bit
+            # the newest word is the lowest bit, as the last one of a mask
+            free = ~np.logical_or.reduce([full & mask == mask for mask, _ in masks])
+            to = full & ((1 << bits) - 1)
+            for agree in range(len(best)):
+                ok = free & (best[agree] > low // 2)
+                np.maximum.at(new[min(agree + bit, len(best) - 1)], to[ok], best[agree][ok] + gain)
+        best, top = new, max(top, new.max())
+        assert best[-1].max() < 0
+    assert top < 50
+
+
+def test_substitutions_equal_brute_force_diagonals(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (5, 8, 11, 12, 16, 23, 40, 59)]
+    rows = []
+    for item in items:
+        changes = [range(first, len(item), period) for period in (4, 5, 6, 7, 8) for first in range(period)]
+        changes += [rng.sample(range(len(item)), rng.randint(0, len(item) // 3)) for _ in range(15)]
+        for places in changes:
+            changed = list(item)
+            for at in places:
+                changed[at] = word()
+            rows.append([word() for _ in range(9)] + changed + [word() for _ in range(9)])
+    number = {w: i for i, w in enumerate({w for x in rows + items for w in x})}
+    coded = lambda x: np.array([number[w] for w in x])
+    want = {}
+    for d, row in enumerate(rows):
+        for k, item in enumerate(items):
+            for shift in range(-len(item) + 1, len(row)):
+                _, size, agree = decontaminate.overlap(coded(row), coded(item), shift)
+                if size and agree >= min(decontaminate.MIN_MATCH, len(item)) and agree >= decontaminate.MIN_IDENTITY * size:
+                    want[d, k] = max(agree, want.get((d, k), 0))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminations(docs, bench).collect()
+    assert {(r.doc_id, r.item_id): r.n_match for r in found} == want and len(want) > 150
