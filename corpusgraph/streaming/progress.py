@@ -5,16 +5,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusgraph.operators.windows import running_sum
 from corpusgraph.session import run_dir
+from corpusgraph.streaming import stateful
 
 SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("stream_id", T.StringType()),
@@ -25,23 +24,37 @@ SCHEMA = T.StructType([
 START_MARK, SPAN = 30.0, 60.0
 IDLE_SECONDS = 1.0
 EXPIRE_SECONDS, MOST_ACTIVE = 300, 3
+#: Seconds after its newest event until a stream's state goes; a stream that speaks again later starts anew.
+KEEP_SECONDS = 60 * 86400.0
+#: How late an event may be against the newest one.
+DELAY = "1 hour"
 
 
-def run_available(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None] | None = None,
+                  folder: str | None = None, reports: list | None = None) -> DataFrame:
     """Run a stream over what is available now; returns the rows written, with their ``batch``.
 
-    Every micro-batch overwrites its own folder, so a batch that is retried is not doubled.
+    Every micro-batch overwrites its own folder, so a batch that is retried is not doubled. A later call with the same
+    ``folder`` goes on where the last one ended and returns the rows of both. ``reports`` receives Spark's progress reports.
     """
     spark = stream.sparkSession
-    out, schema = run_dir(spark, "stream"), stream.schema
+    folder, schema = folder or run_dir(spark, "stream"), stream.schema
+    out = f"{folder}/rows"
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write or save)
-        .option("checkpointLocation", run_dir(spark, "commits")).trigger(availableNow=True).start())
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.PROVIDER)  # timers need it
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).foreachBatch(write or save)
+            .option("checkpointLocation", f"{folder}/commits").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     query.awaitTermination()
+    if reports is not None:
+        reports.extend(query.recentProgress)
     if write is not None:
         return spark.createDataFrame([], schema)
     reader = spark.read.schema(T.StructType(list(schema.fields) + [T.StructField("batch", T.IntegerType())]))
@@ -67,11 +80,11 @@ def stream_status(events: DataFrame) -> DataFrame:
     return _flat(_latest(events.filter("progress IS NOT NULL")))
 
 
-def stream_status_streaming(events: DataFrame) -> DataFrame:
-    updates = run_available(stream_status(events), "update")
-    cols = [c for c in updates.columns if c not in ("stream_id", "batch")]
-    last = updates.groupBy("stream_id").agg(F.max_by(F.struct(*cols), "batch").alias("u"))
-    return last.select("stream_id", *[f"u.{c}" for c in cols])
+def stream_status_streaming(events: DataFrame, clock: DataFrame | None = None, keep: float = KEEP_SECONDS, **run) -> DataFrame:
+    """The same, from a log of status changes; a stream's state goes ``keep`` seconds after its last event."""
+    log = run_available(stateful.process(stateful.timed(events, clock, DELAY), stateful.Status(keep), stateful.Status.schema),
+                        "append", **run)
+    return _flat(_latest(log))
 
 
 def stream_history(events: DataFrame) -> DataFrame:
@@ -95,29 +108,20 @@ def idle_gaps(events: DataFrame, idle: float = IDLE_SECONDS) -> DataFrame:
         "stream_id", F.col("ts").alias("since"), F.floor(F.col("_gap") / idle).alias("beats"), "last_progress")
 
 
-def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
+def idle_gaps_streaming(events: DataFrame, idle: float = IDLE_SECONDS, clock: DataFrame | None = None,
+                        keep: float = KEEP_SECONDS, final: str | None = None, **run) -> DataFrame:
+    """The same rows, and one for the silence that lasts: the heartbeats due until the clock.
 
+    Events may come out of order within ``DELAY``. A stream is given up after ``keep`` seconds of silence or a ``final`` event.
+    """
+    told = run_available(stateful.process(stateful.timed(events, clock, DELAY), stateful.Silences(idle, keep, final),
+                                          stateful.Silences.schema), "append", **run)
+    return told.groupBy("stream_id", "since").agg(F.sum("beats").alias("beats"), F.max("last_progress").alias("last_progress"))
 
-def idle_gaps_streaming(events: DataFrame, idle: float = IDLE_SECONDS) -> DataFrame:
-    """The same rows, each emitted when the event that ends the silence arrives (in-order input)."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_ts, last_progress = state.get if state.exists else (None, None)
-        rows = []
-        for ts, progress in _in_order(frames)[["ts", "progress"]].itertuples(index=False):
-            now = ts.value // 1000
-            if last_ts is not None and (now - last_ts) / 1e6 > idle:
-                rows.append((key[0], pd.Timestamp(last_ts, unit="us"), int((now - last_ts) / 1e6 // idle), last_progress))
-            last_ts = now
-            last_progress = last_progress if pd.isna(progress) else float(progress)
-        state.update((last_ts, last_progress))
-        yield pd.DataFrame(rows, columns=["stream_id", "since", "beats", "last_progress"])
 
-    out = events.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id string, since timestamp, beats long, last_progress double", "ts long, progress double",
-        "append", GroupStateTimeout.NoTimeout)
-    return run_available(out, "append").drop("batch")
+def heartbeats(events: DataFrame, idle: float = IDLE_SECONDS, final: str | None = None, most: int = 3600) -> DataFrame:
+    """A stream of heartbeats by the wall clock (``stateful.Watch``), for a query that keeps running."""
+    return stateful.process(events, stateful.Watch(idle, final, most), stateful.Watch.schema, time="ProcessingTime")
 
 
 def until_complete(events: DataFrame, final: str) -> DataFrame:
@@ -128,21 +132,11 @@ def until_complete(events: DataFrame, final: str) -> DataFrame:
         F.col("_end").isNull() | (F.struct("ts", "event_id") <= F.col("_end"))).drop("_end")
 
 
-def until_complete_streaming(events: DataFrame, final: str) -> DataFrame:
-    columns = events.columns
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists and state.get[0]:
-            return
-        rows = _in_order(frames)
-        finals = (rows["event_type"] == final).to_numpy()
-        closed = bool(finals.any())
-        state.update((closed,))
-        yield (rows.iloc[: finals.argmax() + 1] if closed else rows)[columns]
-
-    out = events.groupBy("stream_id").applyInPandasWithState(
-        step, events.schema, "closed boolean", "append", GroupStateTimeout.NoTimeout)
-    return run_available(out, "append").drop("batch")
+def until_complete_streaming(events: DataFrame, final: str, clock: DataFrame | None = None, keep: float = KEEP_SECONDS,
+                             **run) -> DataFrame:
+    """The same, in time order whatever order the events come in; a closed stream is forgotten after ``keep`` seconds."""
+    out = stateful.process(stateful.timed(events, clock, DELAY), stateful.UntilFinal(final, keep), stateful.UntilFinal.schema)
+    return run_available(out, "append", **run).drop("batch").select(*events.columns)
 
 
 def agent_progress(events: DataFrame, gap: str = "1 day") -> DataFrame:
@@ -158,10 +152,10 @@ def agent_progress(events: DataFrame, gap: str = "1 day") -> DataFrame:
                           "completed", "total", (START_MARK + share * SPAN).alias("progress"))
 
 
-def agent_progress_streaming(events: DataFrame, gap: str = "1 day") -> DataFrame:
-    rows = run_available(agent_progress(events.withWatermark("ts", "1 hour"), gap), "complete")
-    newest = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(newest, "batch").drop("batch")
+def agent_progress_streaming(events: DataFrame, gap: str = "1 day", clock: DataFrame | None = None, **run) -> DataFrame:
+    """The same sessions, each written once when the watermark has passed its end; its state goes with it."""
+    timed = stateful.only_events(stateful.timed(events, clock, DELAY))
+    return run_available(agent_progress(timed, gap), "append", **run).drop("batch")
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
@@ -170,6 +164,14 @@ def stage_durations(events: DataFrame) -> DataFrame:
         ((_us(F.max("ts")) - _us(F.min("ts"))) / 1e6).alias("seconds"), F.count("*").alias("n_events"))
 
 
+def stage_durations_streaming(events: DataFrame, clock: DataFrame | None = None, keep: float = KEEP_SECONDS, **run) -> DataFrame:
+    """The same; a stage's state goes ``keep`` seconds after its last event, and what comes later is added up."""
+    spans = run_available(stateful.process(stateful.timed(events, clock, DELAY), stateful.Span(keep), stateful.Span.schema,
+                                           ("stream_id", "event_type")), "append", **run)
+    return spans.groupBy("stream_id", "event_type").agg(
+        ((F.max("last") - F.min("first")) / 1e6).alias("seconds"), F.sum("n").alias("n_events"))
+
+
 def active_requests(events: DataFrame, seconds: int = EXPIRE_SECONDS, most: int = MOST_ACTIVE) -> DataFrame:
     """Requests active when each one starts (itself included), a request expiring after ``seconds``.
 
@@ -191,25 +193,11 @@ def active_per_stream(events: DataFrame, seconds: int = EXPIRE_SECONDS) -> DataF
     return events.withColumn("active", F.count("*").over(w)).select("event_id", "stream_id", "active")
 
 
-def active_per_stream_streaming(events: DataFrame, seconds: int = EXPIRE_SECONDS) -> DataFrame:
-    """Keeps only the starts that have not expired, per stream."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live = list(state.get[0]) if state.exists else []
-        rows = _in_order(frames)
-        out = []
-        stamps = [t.value // 1000 for t in rows["ts"]]
-        for i, (event_id, now) in enumerate(zip(rows["event_id"], stamps)):
-            live.append(now)
-            live = [t for t in live if now - t <= seconds * 1_000_000]
-            same = sum(1 for t in stamps[i + 1:] if t == now)
-            out.append((event_id, key[0], len(live) + same))
-        state.update((live,))
-        yield pd.DataFrame(out, columns=["event_id", "stream_id", "active"])
-
-    out = events.groupBy("stream_id").applyInPandasWithState(
-        step, "event_id long, stream_id string, active long", "live array<long>", "append", GroupStateTimeout.NoTimeout)
-    return run_available(out, "append").drop("batch")
+def active_per_stream_streaming(events: DataFrame, seconds: int = EXPIRE_SECONDS, clock: DataFrame | None = None,
+                                **run) -> DataFrame:
+    """Keeps only the starts that have not expired, per stream; the last ones go by a timer."""
+    out = stateful.process(stateful.timed(events, clock, DELAY), stateful.Active(seconds), stateful.Active.schema)
+    return run_available(out, "append", **run).drop("batch")
 
 
 def incremental_index(file_stream: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], schema: T.StructType) -> DataFrame:
