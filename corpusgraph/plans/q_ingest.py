@@ -13,7 +13,8 @@ from corpusgraph.plans import sqltext as S
 from corpusgraph.plans.catalog import query
 from corpusgraph.plans.q_stats import joined
 from corpusgraph.rules import area_rules as A
-from corpusgraph.sources import scan, store
+from corpusgraph.session import run_dir
+from corpusgraph.sources import buckets, scan, store
 
 _WS = "' ' || chr(9) || chr(13) || chr(12) || chr(11)"
 _LINES = f"""
@@ -252,7 +253,10 @@ SELECT id, label, len(embedding) AS dim FROM (
 def snk1(d):
     old = d.vectors.select("id", F.lit("old").alias("label"), "embedding")
     new = d.labels.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.lit("new").alias("label"))
-    return store.upsert_vectors(old, new, d.vectors).select("id", "label", F.size("embedding").alias("dim"))
+    table = buckets.create(old, run_dir(d.spark, "vectors"), "id")
+    for _ in range(2):  # the batch is sent again, and changes nothing
+        store.store_vectors(table, new, d.vectors, batch=0)
+    return table.read().select("id", "label", F.size("embedding").alias("dim"))
 
 
 @query("snk2_replace_by_file", "chunks", sql="""
@@ -262,24 +266,37 @@ def snk2(d):
     old = d.chunks.select("id", "file_path", F.lit("old").alias("version"))
     new = d.chunks.filter("project_id = 'src4'").select(
         F.concat(F.lit("d"), (F.col("doc_id") + 3).cast("string")).alias("id"), "file_path", F.lit("new").alias("version"))
-    return store.replace_by_file(old, new)
+    table = buckets.create(old, run_dir(d.spark, "chunks"), "file_path")
+    store.store_by_file(table, new)
+    return table.read()
 
 
 @query("snk3_delete_by_file", "chunks", sql="SELECT id, file_path FROM chunks WHERE file_path NOT IN (SELECT file_path FROM chunks WHERE project_id = 'src9')")
 def snk3(d):
-    return store.delete_by_file(d.chunks.select("id", "file_path"), d.chunks.filter("project_id = 'src9'"))
+    table = buckets.create(d.chunks.select("id", "file_path"), run_dir(d.spark, "chunks"), "file_path")
+    table.delete(d.chunks.filter("project_id = 'src9'").select("file_path"), ["file_path"])
+    return table.read()
 
 
 @query("snk4_detach_delete", "chunks", "doc_edges", sql="""
 , gone AS (SELECT id FROM chunks WHERE project_id = 'src5') SELECT * FROM doc_edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)""")
 def snk4(d):
-    return store.detach_delete(d.doc_edges, d.chunks.filter("project_id = 'src5'"))
+    table = buckets.create(d.doc_edges, run_dir(d.spark, "edges"), "src")
+    store.detach_nodes(table, d.chunks.filter("project_id = 'src5'"))
+    return table.read()
+
+
+@query("snk4_detach_compacted", "chunks", "doc_edges", sql="""
+, gone AS (SELECT id FROM chunks WHERE project_id = 'src5') SELECT * FROM doc_edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)""")
+def snk4_compacted(d):
+    table = buckets.create(d.doc_edges, run_dir(d.spark, "edges"), "src")
+    store.detach_nodes(table, d.chunks.filter("project_id = 'src5'"))
+    table.compact()
+    return table.read()
 
 
 @query("snk6_collection_recreate", "vectors", sql="SELECT id, project_id, len(embedding) AS dim FROM vectors")
 def snk6(d):
-    from corpusgraph.session import run_dir
-
     path = run_dir(d.spark, "collection")
     store.recreate(d.vectors, path)
     store.recreate(d.vectors, path)

@@ -1,10 +1,12 @@
-"""Table forms of the store operations: what a table holds after an upsert, replace or delete."""
+"""Store operations: what a table holds after an upsert, replace or delete, and the same on stored tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.sources.buckets import BucketTable, Manifest
+
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Insert or replace rows by key."""
@@ -34,6 +36,22 @@ def detach_delete(edges: DataFrame, ids: DataFrame) -> DataFrame:
         .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*edges.columns))
 
 
+def store_vectors(table: BucketTable, chunks: DataFrame, vectors: DataFrame, batch: int | None = None) -> Manifest:
+    """Stored form of ``upsert_vectors``; the table is dealt by id."""
+    new = chunks.join(vectors.select("id", "embedding"), "id")
+    return table.merge(new, ["id"], batch=batch)
+
+
+def store_by_file(table: BucketTable, new: DataFrame, batch: int | None = None) -> Manifest:
+    """Stored form of ``replace_by_file``; the table is dealt by file_path."""
+    return table.merge(new, ["file_path", "id"], batch=batch)
+
+
+def detach_nodes(edges: BucketTable, ids: DataFrame, batch: int | None = None) -> Manifest:
+    """Stored form of ``detach_delete``: the deleted ids are noted, and hide edges at either end until ``compact``."""
+    return edges.delete(ids.select("id"), ["src", "dst"], batch=batch)
+
+
 def recreate(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Drop and write a stored collection."""
     writer = df.write.mode("overwrite")

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusgraph.operators.windows import running_sum
 from corpusgraph.session import run_dir
+from corpusgraph.sources.buckets import BucketTable
 from corpusgraph.streaming import stateful
 
 SCHEMA = T.StructType([
@@ -200,28 +201,17 @@ def active_per_stream_streaming(events: DataFrame, seconds: int = EXPIRE_SECONDS
     return run_available(out, "append", **run).drop("batch")
 
 
-def incremental_index(file_stream: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], schema: T.StructType) -> DataFrame:
-    """Re-chunk arriving files and replace their rows in a stored table; returns the final table.
+def incremental_index(file_stream: DataFrame, to_chunks: Callable[[DataFrame], DataFrame], table: BucketTable,
+                      folder: str) -> DataFrame:
+    """Re-chunk arriving files and replace their rows in a stored table of chunks; returns the table.
 
-    Every micro-batch writes the next version of the table beside the last one.
+    A micro-batch rewrites the buckets of its files and of the ids it brings, under its number, so that a repeated one changes
+    nothing. A later call with the same ``folder`` goes on where the last one ended.
     """
-    from corpusgraph.sources.store import delete_by_file, replace_by_file
-
-    spark: SparkSession = file_stream.sparkSession
-    base = run_dir(spark, "index")
-    versions: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        # batches are numbered from 0 without gaps, so a retried one finds the same previous version
-        new = to_chunks(batch)
-        if number > 0:
-            old = spark.read.schema(schema).parquet(f"{base}/v{number - 1}")
-            old = delete_by_file(old, batch.select(F.col("path").alias("file_path")))
-            new = replace_by_file(old, new)
-        new.write.mode("overwrite").parquet(f"{base}/v{number}")
-        versions.append(number)
-
-    run_available(file_stream, "append", write)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/v{versions[-1]}")
+        files = batch.select(F.col("path").alias("file_path"))
+        table.merge(to_chunks(batch), ["file_path", "id"], {"file_path": files}, writer=folder, batch=number)
+
+    run_available(file_stream, "append", write, folder)
+    return table.read()
