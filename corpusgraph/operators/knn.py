@@ -4,8 +4,9 @@ Exact search has two physical forms with equal results:
 
 * few queries (checked against ``max_cells``): they travel to every task once and each task
   scores its own Arrow batches, so the vector table is never shuffled;
-* many queries: both sides are cut into blocks and every (query block, vector block) pair is one
-  bounded group, so neither side has to fit anywhere.
+* many queries: vectors beyond one block are indexed in lists (``ivf``). Each query looks into its likest lists, which gives a bound,
+  then into the lists that can still reach it. A list and the queries that look into it meet in blocks of bounded size, so
+  neither side has to fit anywhere.
 
 Both emit only a running top k per query and task; one window finishes the ranking.
 """
@@ -20,24 +21,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusgraph.operators import ivf
+from corpusgraph.operators.knn_math import matrix
+from corpusgraph.session import materialize
+
 SCORE_DIGITS = 6
 BATCH_ROWS = 4096
 BLOCK_QUERIES = 1024
 BLOCK_VECTORS = 8192
-
-
-def _matrix(values) -> np.ndarray:
-    """Row-normalised float64 matrix; zero or missing vectors stay zero (cosine 0); unequal lengths are an error."""
-    rows = list(values)
-    if len({len(v) for v in rows if v is not None and len(v)}) > 1:
-        raise ValueError("vectors of different lengths")
-    dim = max((len(v) for v in rows if v is not None), default=0)
-    out = np.zeros((len(rows), dim))
-    for i, v in enumerate(rows):
-        if v is not None and len(v):
-            out[i, : len(v)] = v
-    norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+#: Lists that give an exact search its bound.
+FIRST_LISTS = 4
+#: Queries that an approximate search is fitted on (the bound of what is sent to every task there).
+SAMPLE_QUERIES = 256
 
 
 def _top(keys: pd.DataFrame, ks: np.ndarray, queries: np.ndarray, ids: np.ndarray,
@@ -141,10 +136,10 @@ def cosine_topk(
             small = None
     if small is not None:
         payload = small.drop(columns=["embedding"])
-        shared = q.sparkSession.sparkContext.broadcast((payload, _matrix(small["embedding"])))
+        shared = q.sparkSession.sparkContext.broadcast((payload, matrix(small["embedding"])))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            meta, matrix = shared.value
+            meta, asked = shared.value
             labels = meta[key_list + ["_k"]]
             ks = meta["_k"].to_numpy()
             held: list[pd.DataFrame] = []
@@ -152,7 +147,7 @@ def cosine_topk(
             for batch in batches:
                 for lo in range(0, len(batch), BATCH_ROWS):
                     part = batch.iloc[lo: lo + BATCH_ROWS]
-                    held.append(_top(labels, ks, matrix, part["id"].to_numpy(), _matrix(part["embedding"]),
+                    held.append(_top(labels, ks, asked, part["id"].to_numpy(), matrix(part["embedding"]),
                                      _masker(meta, part, equal, member, exclude_self)))
                     rows += len(held[-1])
                 if rows > 500_000:
@@ -163,8 +158,8 @@ def cosine_topk(
 
         hits = v.mapInPandas(score, out_schema)
     else:
-        hits = _blocked(q.withColumn("bucket", F.lit(0)), v.withColumn("bucket", F.lit(0)),
-                        key_list, out_schema, equal, member, exclude_self)
+        form = _one_block if v.limit(BLOCK_VECTORS + 1).count() <= BLOCK_VECTORS else _pruned
+        hits = form(q, v, key_list, out_schema, equal, member, exclude_self)
     return _finish(hits, key_list, F.col("_k")).drop("_k").select(*key_list, "rank", "id", "score")
 
 
@@ -203,44 +198,57 @@ def _blocked(q: DataFrame, v: DataFrame, keys: list[str], out_schema: T.StructTy
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=keys + ["_k", "id", "score"])
-        return _top(left[keys + ["_k"]], left["_k"].to_numpy(), _matrix(left["embedding"]),
-                    right["id"].to_numpy(), _matrix(right["embedding"]),
+        return _top(left[keys + ["_k"]], left["_k"].to_numpy(), matrix(left["embedding"]),
+                    right["id"].to_numpy(), matrix(right["embedding"]),
                     _masker(left, right, equal, member, exclude_self))
 
     where = ["bucket", "qb", "vb"]
     return q_side.groupBy(*where).cogroup(v_side.groupBy(*where)).applyInPandas(pair, out_schema)
 
 
-def sign_buckets(df: DataFrame, dim: int, bits: int = 4, tables: int = 6, seed: int = 7) -> DataFrame:
-    """One row per (row, table) with the bucket given by the signs of ``bits`` random projections."""
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
-    powers = 1 << np.arange(bits)
-    schema = T.StructType(list(df.schema.fields) + [T.StructField("bucket", T.IntegerType())])
+def _one_block(q: DataFrame, v: DataFrame, keys: list[str], out_schema: T.StructType, equal, member, exclude_self) -> DataFrame:
+    """Hits among vectors that fit one block: every block of queries meets it."""
+    return _blocked(q.withColumn("bucket", F.lit(0)), v.withColumn("bucket", F.lit(0)), keys, out_schema, equal, member, exclude_self)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            signs = (_matrix(batch["embedding"]) @ planes.T > 0).reshape(len(batch), tables, bits)
-            codes = (signs * powers).sum(axis=2) + np.arange(tables) * (1 << bits)
-            out = batch.loc[batch.index.repeat(tables)].reset_index(drop=True)
-            out["bucket"] = codes.reshape(-1).astype("int32")
-            yield out
 
-    return df.mapInPandas(assign, schema)
+def _pruned(q: DataFrame, v: DataFrame, keys: list[str], out_schema: T.StructType, equal, member, exclude_self,
+            first: int = FIRST_LISTS) -> DataFrame:
+    """Exact hits by lists: a bound from the likest lists, then all lists that can reach it."""
+    index = ivf.build(v)
+    q = materialize(q, "queries")
+    looked = lambda side: _blocked(side, index.rows, keys, out_schema, equal, member, exclude_self)
+    near = materialize(looked(ivf.probe(q, index, first)), "near")
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"))
+    bound = (near.withColumn("place", F.row_number().over(order)).filter(F.col("place") == F.col("_k"))
+             .select(*[F.col(c).alias(f"key_{c}") for c in keys], F.col("score").alias("bound")))
+    same = F.lit(True)
+    for c in keys:
+        same &= q[c].eqNullSafe(bound[f"key_{c}"])
+    bounded = q.join(bound, same, "left").select(*q.columns, "bound")
+    return near.unionByName(looked(ivf.probe(bounded, index, first, skip=first, bound="bound")))
 
 
-def approx_topk(queries: DataFrame, vectors: DataFrame, dim: int, k: int = 10,
-                keys: tuple[str, ...] = ("query_id",), bits: int = 4, tables: int = 6) -> DataFrame:
-    """Sign-bucket candidates with an exact re-rank inside each bucket; misses are possible."""
+def approx_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, keys: tuple[str, ...] = ("query_id",),
+                target: float = 0.95, lists: int | None = None, probes: int | None = None) -> DataFrame:
+    """The ``k`` nearest vectors in each query's likest lists, ranked exactly; misses are possible.
+
+    Unless ``probes`` says how many lists a query looks into, that is fitted: so many that about ``SAMPLE_QUERIES`` of the
+    queries, compared with all vectors, have ``target`` of their true neighbours in them. Where vectors lie in groups these are
+    few lists of about sqrt(rows) rows each; where they have no structure, no number of lists short of most of them will do.
+    """
     key_list = list(keys)
     q = queries.select(*key_list, "embedding").withColumn("_k", F.lit(k))
-    v = vectors.select("id", "embedding")
     out_schema = T.StructType(
-        [q.schema[c] for c in key_list] + [T.StructField("_k", T.IntegerType()), v.schema["id"],
+        [q.schema[c] for c in key_list] + [T.StructField("_k", T.IntegerType()), vectors.schema["id"],
                                            T.StructField("score", T.DoubleType())])
-    hits = _blocked(sign_buckets(q, dim, bits, tables), sign_buckets(v, dim, bits, tables),
-                    key_list, out_schema, [], [], None)
-    best = hits.dropDuplicates(key_list + ["id"])
-    return _finish(best, key_list, F.lit(k)).select(*key_list, "rank", "id", "score")
+    index = ivf.build(vectors.select("id", "embedding"), lists)
+    if probes is None:
+        share = SAMPLE_QUERIES / max(q.count(), 1)
+        sample = q.filter(F.pmod(F.xxhash64(*key_list, F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1) if share < 1 else q
+        exact = cosine_topk(sample, index.rows, k, keys, max_cells=1 << 30)
+        probes = ivf.probes_for(index, sample, exact, key_list, target)
+    hits = _blocked(ivf.probe(q, index, probes), index.rows, key_list, out_schema, [], [], None)
+    return _finish(hits, key_list, F.lit(k)).select(*key_list, "rank", "id", "score")
 
 
 def recall(approx: DataFrame, exact: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:

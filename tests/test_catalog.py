@@ -40,4 +40,4 @@ def test_against_sql(spark, name):
 
 def test_approximate_recall(spark):
     row = entry.queries()["ret2_recall"](spark, FOLDER).first()
-    assert row["recall"] > 0.5
+    assert row["recall"] >= 0.9
