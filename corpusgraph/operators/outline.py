@@ -1,12 +1,15 @@
-"""Chunks (functions, classes, methods) of source files, found row by row without a shuffle."""
+"""Chunks (functions, classes, methods) of source files, found row by row without a shuffle, in near linear time (``folds``)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.chunks import chunk_id, imports_in
-from corpusgraph.functions.text import ascii_pattern, extract_all, kind_of, let
+from corpusgraph.functions.text import ascii_pattern, extract_all, kind_of
+from corpusgraph.operators import folds
 from corpusgraph.rules.area_rules import CALL_KEYWORDS
 
 # ---- fixed values: header patterns, applied to the trimmed line ----
@@ -39,15 +42,6 @@ def _name(trimmed: Column, pattern: str) -> Column:
     return F.when(F.length(found) > 0, found)
 
 
-def _chunk(file_lines: Column, header: Column, end: Column, node_type: Column, name: Column, first: int) -> Column:
-    """Struct of one chunk; ``list_no`` is its place in the file's chunk list (classes first)."""
-    body = F.slice(file_lines, header["no"], end - header["no"] + 1)
-    return F.struct(
-        header["no"].alias("start_line"), end.alias("end_line"), node_type.alias("node_type"), name.alias("name"),
-        F.array_join(F.transform(body, lambda x: x["text"]), "\n").alias("content"),
-        (header["no"] + F.lit(first)).alias("list_no"))
-
-
 def _rows(files: DataFrame, chunks: Column) -> DataFrame:
     rows = files.select("path", "project_id", "language", F.inline(chunks))
     return rows.select(
@@ -56,66 +50,57 @@ def _rows(files: DataFrame, chunks: Column) -> DataFrame:
         "content", "list_no")
 
 
-def outline_python(files: DataFrame) -> DataFrame:
-    """Classes, functions and methods by header line; a block ends before the next non-blank line
-    that is not indented deeper than its header."""
+def _with_heads(files: DataFrame, names: list[tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """``files`` with ``_lines`` and, for each (column, name in a trimmed line), the headers' (line, name) structs."""
+    def heads(name_of) -> Column:
+        named = F.transform("_lines", lambda x: F.struct(x["no"].alias("no"), name_of(x["trimmed"]).alias("name")))
+        return F.filter(named, lambda h: h["name"].isNotNull())
+
+    rows = files.withColumn("_lines", line_array(F.col("content")))
+    return rows.withColumns({column: heads(name_of) for column, name_of in names})
 
-    def chunks(all_lines: Column) -> Column:
-        solid = F.filter(all_lines, lambda x: F.length(x["trimmed"]) > 0)
-        return let(solid, lambda used: F.concat(
-            _found(all_lines, used, PY_CLASS, False), _found(all_lines, used, PY_FUNCTION, True)))
 
-    def _found(all_lines: Column, used: Column, pattern: str, functions: bool) -> Column:
-        def build(h: Column) -> Column:
-            after = F.filter(used, lambda x: (x["no"] > h["no"]) & (x["indent"] <= h["indent"]))
-            end = F.coalesce(F.get(after, F.lit(0))["no"] - 1, F.size(all_lines))
-            if functions:
-                # the nearest line above that is shallower and a class, or not deeper and no class, decides
-                is_class = lambda x: x["trimmed"].startswith("class ")
-                deciding = F.filter(used, lambda x: (x["no"] < h["no"]) & F.when(
-                    is_class(x), x["indent"] < h["indent"]).otherwise(x["indent"] <= h["indent"]))
-                method = F.coalesce(is_class(F.try_element_at(deciding, F.lit(-1))), F.lit(False))
-                kind = F.when(method, "method_definition").otherwise("function_definition")
-            else:
-                kind = F.lit("class_definition")
-            return _chunk(all_lines, h, end, kind, _name(h["trimmed"], pattern), _FUNCTION_PASS * functions)
+def _chunks_at(heads: str, spans: str, kind, first: int) -> Column:
+    """Chunk structs of headers: ``spans`` has their last lines and texts, ``kind`` gives the node type of the i-th one.
 
-        return F.transform(F.filter(used, lambda x: _name(x["trimmed"], pattern).isNotNull()), build)
+    ``list_no`` is a chunk's place in the file's chunk list (classes first).
+    """
+    return F.transform(heads, lambda h, i: F.struct(
+        h["no"].alias("start_line"), F.get(f"{spans}.end", i).alias("end_line"), kind(i).alias("node_type"),
+        h["name"].alias("name"), F.get(f"{spans}.content", i).alias("content"), (h["no"] + F.lit(first)).alias("list_no")))
 
-    return _rows(files, let(line_array(F.col("content")), chunks))
+
+def outline_python(files: DataFrame) -> DataFrame:
+    """Classes, functions and methods by header line; a block ends before the next non-blank line
+    that is not indented deeper than its header."""
+    rows = _with_heads(files, [("_classes", lambda t: _name(t, PY_CLASS)), ("_functions", lambda t: _name(t, PY_FUNCTION))])
+    rows = rows.withColumn("_solid", F.filter("_lines", lambda x: F.length(x["trimmed"]) > 0)).withColumns({
+        "_no": F.transform("_solid", lambda x: x["no"]), "_indent": F.transform("_solid", lambda x: x["indent"]),
+        "_is_class": F.transform("_solid", lambda x: x["trimmed"].startswith("class "))}).drop("_solid")
+    # headers are solid lines, found again by their numbers
+    for name, heads in (("_c", "_classes"), ("_f", "_functions")):
+        numbers = F.transform(heads, lambda h: h["no"])
+        rows = rows.withColumn(name, folds.block_spans_of("content", "_no", "_indent", "_is_class", numbers))
+    kinds = lambda i: F.when(F.get("_f.method", i), "method_definition").otherwise("function_definition")
+    return _rows(rows, F.concat(
+        _chunks_at("_classes", "_c", lambda i: F.lit("class_definition"), 0), _chunks_at("_functions", "_f", kinds, _FUNCTION_PASS)))
 
 
 def outline_braces(files: DataFrame) -> DataFrame:
     """JavaScript / TypeScript headers; a block ends on the line of the first closing brace that
     brings the depth counted from the header back to zero, else at the end of the file."""
-
-    def js_function(trimmed: Column) -> Column:
-        return F.coalesce(*[_name(trimmed, p) for p in JS_FUNCTIONS])
-
-    def chunks(all_lines: Column) -> Column:
-        braces = F.flatten(F.transform(all_lines, lambda x: F.transform(
-            F.regexp_extract_all(x["text"], F.lit("[{}]"), F.lit(0)),
-            lambda b: F.struct(x["no"].alias("no"), F.when(b == "{", 1).otherwise(-1).alias("step")))))
-        return let(braces, lambda b: F.concat(
-            found(all_lines, b, lambda t: _name(t, JS_CLASS), "class_definition", 0),
-            found(all_lines, b, js_function, "function_definition", _FUNCTION_PASS)))
-
-    def found(all_lines: Column, braces: Column, name_of, kind: str, first: int) -> Column:
-        def build(h: Column) -> Column:
-            start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("hit"))
-
-            def step(acc: Column, b: Column) -> Column:
-                depth = acc["depth"] + b["step"]
-                return F.struct(depth.alias("depth"), F.coalesce(
-                    acc["hit"], F.when((b["step"] < 0) & (depth == 0), b["no"])).alias("hit"))
-
-            close = F.aggregate(F.filter(braces, lambda b: b["no"] >= h["no"]), start, step, lambda acc: acc["hit"])
-            end = F.coalesce(close, F.size(all_lines))
-            return _chunk(all_lines, h, end, F.lit(kind), name_of(h["trimmed"]), first)
-
-        return F.transform(F.filter(all_lines, lambda x: name_of(x["trimmed"]).isNotNull()), build)
-
-    return _rows(files, let(line_array(F.col("content")), chunks))
+    rows = _with_heads(files, [("_classes", lambda t: _name(t, JS_CLASS)),
+                               ("_functions", lambda t: F.coalesce(*[_name(t, p) for p in JS_FUNCTIONS]))])
+    rows = rows.withColumn("_braces", F.flatten(F.transform("_lines", lambda x: F.transform(
+        F.regexp_extract_all(x["text"], F.lit("[{}]"), F.lit(0)),
+        lambda b: F.struct(x["no"].alias("no"), F.when(b == "{", 1).otherwise(-1).alias("step"))))))
+    for name, heads in (("_c", "_classes"), ("_f", "_functions")):
+        rows = rows.withColumn(name, folds.brace_ends_of(
+            "content", F.transform("_braces", lambda b: b["no"]), F.transform("_braces", lambda b: b["step"]),
+            F.transform(heads, lambda h: h["no"])))
+    return _rows(rows, F.concat(
+        _chunks_at("_classes", "_c", lambda i: F.lit("class_definition"), 0),
+        _chunks_at("_functions", "_f", lambda i: F.lit("function_definition"), _FUNCTION_PASS)))
 
 
 def outline(files: DataFrame) -> DataFrame:

@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.operators import folds
+
 
 def containment_parent(chunks: DataFrame) -> DataFrame:
     """``(id, parent_id)``: the smallest chunk of the same file that starts no later (and comes
     earlier in start order) and contains this one; the first of equals.
 
-    Works inside one array per file - never larger than the file row the chunks came from - so no
+    Works inside one array per file - never larger than the file row the chunks came from - with one stack, so no
     pairs of chunks are ever materialised.
     """
     per_file = chunks.groupBy("file_path").agg(F.sort_array(F.collect_list(
         F.struct("start_line", "list_no", "end_line", "id"))).alias("a"))
-
-    def parent(c, i):
-        holders = F.filter(F.slice(F.col("a"), F.lit(1), i), lambda p: p["end_line"] >= c["end_line"])
-        sized = F.transform(holders, lambda p: F.struct(
-            (p["end_line"] - p["start_line"]).alias("size"), p["start_line"].alias("s"), p["list_no"].alias("l"),
-            p["id"].alias("id")))
-        return F.struct(c["id"].alias("id"), F.array_min(sized)["id"].alias("parent_id"))
-
-    return per_file.select(F.inline(F.transform("a", parent))).filter(F.col("parent_id").isNotNull())
+    around = folds.smallest_around_of(F.transform("a", lambda c: c["start_line"]), F.transform("a", lambda c: c["end_line"]))
+    found = per_file.withColumn("p", around).select(F.inline(F.transform("a", lambda c, i: F.struct(
+        c["id"].alias("id"), F.when(F.get("p", i) >= 0, F.get("a", F.get("p", i))["id"]).alias("parent_id")))))
+    return found.filter(F.col("parent_id").isNotNull())
 
 
 def _last_by_name(chunks: DataFrame) -> DataFrame:
