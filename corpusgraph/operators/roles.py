@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusgraph.functions import chunks as C
 from corpusgraph.functions.text import (
@@ -83,42 +83,52 @@ def role_query(query: Column, role: Column) -> Column:
                     F.coalesce(lookup(role, {r: " ".join(w) for r, w in R.ROLE_QUERY_WORDS.items()}), F.lit("")))
 
 
-def _take_in_turns(pool: DataFrame, tasks: DataFrame, turns: int, order: list[Column], amount: str,
-                   label: str) -> DataFrame:
-    """Each query's first role takes its share of the pool, then the second, and so on.
+_TAKEN = T.ArrayType(T.StructType([
+    T.StructField("position", T.IntegerType()), T.StructField("role", T.StringType()), T.StructField("area", T.StringType()),
+    T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("before", T.LongType())]))
 
-    One pass per turn serves all queries at once; what is left is written out between turns.
-    """
-    taken: list[DataFrame] = []
-    for turn in range(1, turns + 1):
-        now = tasks.filter(F.col("position") == turn).select("query_id", "role", amount)
-        w = Window.partitionBy("query_id").orderBy(*order)
-        step = (
-            pool.join(now, "query_id", "left").withColumn("_place", F.row_number().over(w))
-            .withColumn("_taken", F.col("role").isNotNull() & (F.col("_place") <= F.col(amount))))
-        step = materialize(step, f"{label}{turn}")
-        taken.append(step.filter("_taken").withColumn("position", F.lit(turn)).withColumnRenamed("_place", "place"))
-        pool = step.filter("NOT _taken").select(*pool.columns)
-    return reduce(lambda a, b: a.unionByName(b), taken).drop("_taken", amount)
+
+def area_turns(counts: list[int], roles: list[tuple[int, str]], share: int) -> list[tuple]:
+    """(position, role, area, low, high, places before) of what every role in turn takes: rows ``low`` to ``high`` of an area."""
+    left, used, out = dict(zip(A.AREA_ORDER, counts)), dict.fromkeys(A.AREA_ORDER, 0), []
+    for position, role in roles:
+        liked = R.ROLE_AREAS.get(role, [])
+        place = 0
+        for area in [*liked, *(a for a in A.AREA_ORDER if a not in liked)]:
+            n = min(share - place, left[area] - used[area])
+            if n > 0:
+                out.append((position, role, area, used[area], used[area] + n, place))
+                used[area] += n
+                place += n
+    return out
+
+
+@F.pandas_udf(_TAKEN)
+def area_turns_of(counts: pd.Series, positions: pd.Series, names: pd.Series, share: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("position", "role", "area", "low", "high", "before"), r)) for r in area_turns(
+        [int(x) for x in c], list(zip(map(int, p), n)), int(s))] for c, p, n, s in zip(counts, positions, names, share)], dtype=object)
 
 
 def assign_unique(selected: DataFrame, results: DataFrame, turns: int = len(R.ROLES)) -> DataFrame:
     """``(query_id, position, role, place, id)``: every role in turn takes unused chunks, the areas
     it prefers first; the share is ``max(15, chunks / roles)``, or ``max(3, ..)`` when they are short."""
-    n_roles = selected.groupBy("query_id").agg(F.count("*").alias("_r"))
-    n_chunks = results.groupBy("query_id").agg(F.count("*").alias("_n"))
+    area = C.area_of(F.col("file_path"), F.col("content"))
+    pool = materialize(results.select("query_id", "rank", "id", area.alias("area")), "areas")
+    sizes = pool.groupBy("query_id").agg(
+        F.count("*").alias("_n"), F.array(*[F.count_if(F.col("area") == a) for a in A.AREA_ORDER]).alias("counts"))
+    asked = selected.groupBy("query_id").agg(F.count("*").alias("_r"), F.sort_array(F.collect_list(
+        F.when(F.col("position") <= turns, F.struct("position", "role")))).alias("turns"))
     even = F.floor(F.col("_n") / F.col("_r")).cast("int")
     share = F.when(F.col("_n") < F.col("_r") * R.SHARE_MINIMUM, F.greatest(F.lit(R.SHARE_SHORT), even)).otherwise(
         F.greatest(F.lit(R.SHARE_MINIMUM), even))
-    tasks = selected.join(n_roles, "query_id").join(n_chunks, "query_id").withColumn("share", share)
-    area = C.area_of(F.col("file_path"), F.col("content"))
-    pool = materialize(results.select("query_id", "rank", "id", area.alias("area")), "areas")
-    liked = F.coalesce(*[F.when(F.col("role") == r, F.array_position(words_array(a), F.col("area")))
-                         for r, a in R.ROLE_AREAS.items()], F.lit(0))
-    usual = F.array_position(words_array(A.AREA_ORDER), F.col("area"))
-    order = [F.when(liked > 0, liked).otherwise(F.lit(1000) + usual), F.col("rank")]
-    return _take_in_turns(pool, tasks, turns, order, "share", "assign").select(
-        "query_id", "position", "role", "place", "id")
+    # who takes which rows of an area follows from the areas' sizes alone
+    taken = sizes.join(asked, "query_id").select("query_id", F.inline(area_turns_of(
+        "counts", F.transform("turns", lambda t: t["position"]), F.transform("turns", lambda t: t["role"]), share)))
+    nth = F.row_number().over(Window.partitionBy("query_id", "area").orderBy("rank", "id")) - 1
+    return (
+        pool.withColumn("nth", nth).join(taken, ["query_id", "area"])
+        .filter((F.col("nth") >= F.col("low")) & (F.col("nth") < F.col("high")))
+        .select("query_id", "position", "role", (F.col("before") + F.col("nth") - F.col("low") + 1).cast("int").alias("place"), "id"))
 
 
 def assign_by_score(roles: DataFrame, results: DataFrame, used: DataFrame | None = None) -> DataFrame:
@@ -158,25 +168,24 @@ def role_retrieval(tasks: DataFrame, primary: DataFrame, fallback: DataFrame, tu
         primary.select(*cols).join(t, ["query_id", "role"]).filter(F.col("rank") <= 2 * F.col("n")).withColumn("source", F.lit(0))
         .unionByName(fallback.select(*cols).join(t, ["query_id", "role"]).filter(F.col("rank") <= 3 * F.col("n")).withColumn(
             "source", F.lit(1))))
-    cand = materialize(cand.select("query_id", "position", "role", "n", "source", "rank", "id"), "candidates")
-    done: list[DataFrame] = []
-    for turn in range(1, turns + 1):
-        now = cand.filter(F.col("position") == turn)
-        if done:
-            seen = reduce(lambda a, b: a.unionByName(b), done).select("query_id", "id")
-            now = now.join(seen, ["query_id", "id"], "left_anti")
-        by_rank = Window.partitionBy("query_id", "source").orderBy("rank", "id")
-        best = now.withColumn("_r", F.row_number().over(by_rank)).filter(F.col("_r") <= F.col("n"))
-        enough = best.filter("source = 0").groupBy("query_id").agg(F.count("*").alias("_c"))
-        merged = best.groupBy("query_id", "role", "n", "id").agg(F.min(F.struct("source", "_r")).alias("_o")).join(
-            enough, "query_id", "left")
-        short = F.coalesce("_c", F.lit(0)) < F.greatest(F.lit(5), F.floor(F.col("n") / 2))
-        place = Window.partitionBy("query_id").orderBy("_o")
-        got = (
-            merged.filter((F.col("_o.source") == 0) | short).withColumn("place", F.row_number().over(place))
-            .filter(F.col("place") <= F.col("n")).select("query_id", "role", "place", "id").withColumn("position", F.lit(turn)))
-        done.append(materialize(got, f"role{turn}"))
-    return reduce(lambda a, b: a.unionByName(b), done)
+    cand = cand.select("query_id", "position", "role", "n", "source", "rank", "id")
+    out = T.StructType([cand.schema["query_id"], cand.schema["role"], T.StructField("place", T.IntegerType()), cand.schema["id"],
+                        T.StructField("position", T.IntegerType())])
+
+    def turns_of(group: pd.DataFrame) -> pd.DataFrame:
+        """All turns of one query: at most 5n candidates for each role."""
+        seen: set = set()
+        rows = []
+        for position, own in group[group["position"] <= turns].sort_values(["position", "source", "rank", "id"]).groupby("position"):
+            n = int(own["n"].iloc[0])
+            best = [[i for i in own.loc[own["source"] == s, "id"] if i not in seen][:n] for s in (0, 1)]
+            short = len(best[0]) < max(5, n // 2)
+            kept = list(dict.fromkeys(best[0] + (best[1] if short else [])))[:n]
+            seen.update(kept)
+            rows += [(own["query_id"].iloc[0], own["role"].iloc[0], k + 1, i, position) for k, i in enumerate(kept)]
+        return pd.DataFrame(rows, columns=out.names)
+
+    return cand.groupBy("query_id").applyInPandas(turns_of, out)
 
 
 def fallback_slices(roles: DataFrame, results: DataFrame) -> DataFrame:

@@ -83,9 +83,30 @@ def list_roles(d):
     return results(d).select("query_id").distinct().select("query_id", F.inline(rows))
 
 
-@query("cl9_assign_unique")
+_AREA = ("CASE " + " ".join(f"WHEN {S.any_of('lower(file_path)', w)} THEN '{a}'" for a, w in A.AREA_PATH)
+         + " " + " ".join(f"WHEN {S.any_of('lower(content)', w)} THEN '{a}'" for a, w in A.AREA_CONTENT) + " ELSE 'other' END")
+
+
+def _assign_sql() -> str:
+    """Twelve turns one after the other, each over what the earlier ones left."""
+    turns = []
+    for k, role in enumerate(R.ROLES):
+        liked = R.ROLE_AREAS[role]
+        order = S.map_of("area", {a: i for i, a in enumerate([*liked, *(a for a in A.AREA_ORDER if a not in liked)])}, quote=False)
+        left = f"WHERE NOT EXISTS (SELECT 1 FROM u{k - 1} x WHERE x.query_id = p.query_id AND x.id = p.id)" if k else ""
+        turns.append(f"""t{k} AS MATERIALIZED (SELECT query_id, {k + 1} AS position, '{role}' AS role, place, id FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, rank) AS place FROM pool p {left}) WHERE place <= share)""")
+        turns.append(f"u{k} AS MATERIALIZED (SELECT * FROM t{k}{f' UNION ALL SELECT * FROM u{k - 1}' if k else ''})")
+    return f"""
+, pool AS MATERIALIZED (SELECT query_id, rank, id, {_AREA} AS area, CASE WHEN n < 12 * {R.SHARE_MINIMUM} THEN greatest({R.SHARE_SHORT}, n // 12) ELSE greatest({R.SHARE_MINIMUM}, n // 12) END AS share
+    FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM ranked))
+, {', '.join(turns)}
+SELECT query_id, position, role, place, id FROM u11"""
+
+
+@query("cl9_assign_unique", "chunks", ctes=_LISTED, sql=_assign_sql())
 def cl9(d):
-    return roles.assign_unique(list_roles(d).filter("position <= 5"), results(d), turns=5)
+    return roles.assign_unique(list_roles(d), results(d))
 
 
 @query("cl10_assign_by_score", "chunks", ctes=_LISTED, sql=f"""
@@ -98,18 +119,39 @@ def cl10(d):
     return rounded(roles.assign_by_score(r, results(d), results(d).filter("rank % 2 = 0")))
 
 
-@query("cl11_role_retrieval")
+def _retrieval_sql() -> str:
+    """Twelve turns one after the other; each role's own search gives the first 20 hits, a plain one the first 30."""
+    turns = []
+    for k in range(len(R.ROLES)):
+        left = f"AND NOT EXISTS (SELECT 1 FROM u{k - 1} x WHERE x.query_id = c.query_id AND x.id = c.id)" if k else ""
+        turns.append(f"""b{k} AS MATERIALIZED (SELECT *, count(*) FILTER (source = 0) OVER (PARTITION BY query_id) AS enough FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank, id) AS r FROM cand c WHERE position = {k + 1} {left}) WHERE r <= 10)""")
+        turns.append(f"""u{k} AS MATERIALIZED (SELECT query_id, role, place, id, position FROM (
+            SELECT query_id, role, id, position, row_number() OVER (PARTITION BY query_id ORDER BY min(source * 100 + r)) AS place
+            FROM b{k} WHERE source = 0 OR enough < 5 GROUP BY query_id, role, id, position) WHERE place <= 10
+            {f'UNION ALL SELECT * FROM u{k - 1}' if k else ''})""")
+    return f"""
+, hits AS MATERIALIZED (SELECT query_id, position, {S.map_of('position', {i + 1: r for i, r in enumerate(R.ROLES)})} AS role, rank, id FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, position ORDER BY score DESC, id) AS rank FROM (
+      SELECT a.vec_id // 12 AS query_id, a.vec_id % 12 + 1 AS position, b.id, {_COS} AS score FROM vectors a, vectors b)) WHERE rank <= 30)
+, cand AS MATERIALIZED (SELECT *, 0 AS source FROM hits WHERE rank <= 20 UNION ALL SELECT *, 1 FROM hits)
+, {', '.join(turns)}
+SELECT query_id, role, place, id, position FROM u11"""
+
+
+@query("cl11_role_retrieval", "vectors", sql=_retrieval_sql())
 def cl11(d):
     hits = materialize(role_hits(d), "hits")
     tasks = hits.select("query_id", "position", "role").distinct().withColumn("chunks_needed", F.lit(4))
-    return roles.role_retrieval(tasks, hits.filter("rank <= 20"), hits, turns=5)
+    return roles.role_retrieval(tasks, hits.filter("rank <= 20"), hits, turns=len(R.ROLES))
 
 
 def role_hits(d):
-    """Each group of five vectors is one query; the vectors stand in for its five roles' questions."""
-    names = F.array(*[F.lit(r) for r in R.ROLES[:5]])
-    q = d.vectors.select(F.floor(F.col("vec_id") / 5).alias("query_id"), (F.col("vec_id") % 5 + 1).cast("int").alias("position"),
-                         F.get(names, (F.col("vec_id") % 5).cast("int")).alias("role"), "embedding")
+    """Each group of twelve vectors is one query; the vectors stand in for its twelve roles' questions."""
+    n = len(R.ROLES)
+    names = F.array(*[F.lit(r) for r in R.ROLES])
+    q = d.vectors.select(F.floor(F.col("vec_id") / n).alias("query_id"), (F.col("vec_id") % n + 1).cast("int").alias("position"),
+                         F.get(names, (F.col("vec_id") % n).cast("int")).alias("role"), "embedding")
     return knn.cosine_topk(q, d.vectors, 30, keys=("query_id", "position", "role"))
 
 
