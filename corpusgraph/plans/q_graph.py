@@ -246,12 +246,15 @@ def jn6(d):
 
 
 @query("gr12_data_flow", "edges", "nodes", "selection", sql="""
-, t AS (SELECT query_id, src, dst, rel FROM selection JOIN edges ON src = id WHERE rel IN ('CALLS', 'IMPORTS')
-        UNION SELECT query_id, src, dst, rel FROM selection JOIN edges ON dst = id WHERE rel IN ('CALLS', 'IMPORTS'))
+, s AS MATERIALIZED (SELECT * FROM selection)
+, e AS MATERIALIZED (SELECT src, dst, rel FROM edges WHERE rel IN ('CALLS', 'IMPORTS'))
+, t AS (SELECT query_id, src, dst, rel FROM s JOIN e ON src = id UNION SELECT query_id, src, dst, rel FROM s JOIN e ON dst = id)
 , r AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, dst, rel) AS rank FROM t) WHERE rank <= 20)
+, ends AS MATERIALIZED (SELECT src AS id FROM r UNION SELECT dst FROM r)
+, known AS MATERIALIZED (SELECT id, name, file_path, node_type FROM nodes SEMI JOIN ends USING (id))
 SELECT query_id, rank, src, dst, a.name AS src_name, a.file_path AS src_file, a.node_type AS src_type, b.name AS dst_name,
        b.file_path AS dst_file, b.node_type AS dst_type, rel, CASE rel WHEN 'CALLS' THEN 'outbound' ELSE 'import' END AS flow_direction
-FROM r JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst""")
+FROM r JOIN known a ON a.id = src JOIN known b ON b.id = dst""")
 def gr12(d):
     return graph.data_flow(d.edges, d.nodes, d.selection)
 

@@ -71,7 +71,7 @@ def ret4(d):
    WHEN intent = 'functionality' AND kind IN ('function', 'class', 'method') THEN 1.1e0 ELSE 1 END
    * CASE WHEN len(list_filter(functions, lambda x: contains(lower(name), lower(x)))) > 0 THEN 1.3e0 ELSE 1 END
    * CASE WHEN len(list_filter(classes, lambda x: contains(lower(name), lower(x)))) > 0 THEN 1.3e0 ELSE 1 END
-   * CASE WHEN intent_confidence > 0.7 THEN 1 + (intent_confidence - 0.7e0) * 0.5e0 ELSE 1 END, 6) AS score FROM j)
+   * CASE WHEN intent_confidence > 0.7 THEN 1 + (intent_confidence - 0.7e0) * 0.5e0 ELSE 1 END + 1e-9, 6) AS score FROM j)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM s""")
 def ret5(d):
     q = questions.code_entities(questions.classify_intent(d.questions))

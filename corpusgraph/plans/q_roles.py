@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import chunks as C
@@ -335,8 +336,12 @@ def ret15_roles(d):
 
 # ---- widening short lists ----
 
-_SHORT = """
-, init AS (SELECT query_id, rank, id, file_path FROM ranked WHERE rank <= 5 + query_id % 7 * 6)
+# the lists that a search with a filter finds: each list's chunks of one type, and those of one project
+_TYPES = ["class_definition", "function_definition", "method_definition", "interface", "module"]
+_SHORT = f"""
+, init AS (SELECT query_id * 1000 + found AS query_id, row_number() OVER (PARTITION BY query_id, found ORDER BY rank) AS rank, id, file_path FROM (
+    SELECT *, {S.map_of('node_type', {t: i for i, t in enumerate(_TYPES)}, quote=False)} AS found FROM ranked
+    UNION ALL SELECT ranked.*, 100 + CAST(substr(project_id, 4) AS BIGINT) FROM ranked JOIN chunks USING (id)) WHERE found IS NOT NULL)
 """
 _SEARCHES = _SHORT + _COVER.replace("FROM ranked", "FROM init").strip() + f"""
 , n AS (SELECT query_id, 30 - count(*) AS short FROM init GROUP BY 1)
@@ -347,7 +352,11 @@ _SEARCHES = _SHORT + _COVER.replace("FROM ranked", "FROM init").strip() + f"""
 
 
 def short_lists(d):
-    init = results(d).filter("rank <= 5 + query_id % 7 * 6")
+    by_type = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("node_type")) - 1
+    found = F.explode(F.array(F.when(by_type >= 0, by_type), 100 + F.substring("project_id", 4, 9).cast("long")))
+    lists = results(d).withColumn("found", found).filter("found is not null")
+    init = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "found").orderBy("rank"))).withColumn(
+        "query_id", F.col("query_id") * 1000 + F.col("found")).drop("found")
     q = init.select("query_id").distinct().select(
         "query_id", F.concat(F.lit("list "), F.col("query_id").cast("string")).alias("query"), F.lit(30).alias("target"))
     return init, q
@@ -360,7 +369,7 @@ def ret12_searches(d):
 
 @query("ret12_coverage_expand", "chunks", "vectors", ctes=_LISTED, sql=_SEARCHES + f"""
 , xh AS (SELECT query_id, term_idx, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, term_idx ORDER BY score DESC, id) AS rank FROM (
-    SELECT query_id, term_idx, k, b.id, {_COS} AS score FROM srch JOIN vectors a ON a.vec_id = query_id * 13 + term_idx, vectors b)) WHERE rank <= k)
+    SELECT query_id, term_idx, k, b.id, {_COS} AS score FROM srch JOIN vectors a ON a.vec_id = (query_id * 13 + term_idx) % (SELECT count(*) FROM vectors), vectors b)) WHERE rank <= k)
 , fresh AS (SELECT query_id, id, min(term_idx * 1000 + rank) AS o FROM xh WHERE NOT EXISTS (SELECT 1 FROM init i WHERE i.query_id = xh.query_id AND i.id = xh.id) GROUP BY ALL)
 , added AS (SELECT query_id, id, 30 - short + p AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o, id) AS p FROM fresh JOIN n USING (query_id)) WHERE short <= 20 OR p <= short)
 , al AS (SELECT query_id, id, rank, c.file_path FROM (SELECT query_id, id, rank FROM init UNION ALL SELECT * FROM added) JOIN chunks c USING (id))
@@ -369,7 +378,7 @@ def ret12_searches(d):
 SELECT query_id, id, rank, file_path, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN total > 30 THEN pass ELSE 0 END, CASE WHEN total > 30 THEN f ELSE 0 END, rank) AS position FROM w) WHERE position <= 30""")
 def ret12(d):
     init, q = short_lists(d)
-    s = coverage.coverage_searches(init, q).withColumn("vec_id", F.col("query_id") * 13 + F.col("term_idx"))
+    s = coverage.coverage_searches(init, q).withColumn("vec_id", (F.col("query_id") * 13 + F.col("term_idx")) % d.vectors.count())
     terms = s.join(d.vectors.select("vec_id", "embedding"), "vec_id")
     extra = knn.cosine_topk(terms, d.vectors, "k", keys=("query_id", "term_idx"))
     return coverage.coverage_expand(init, q, extra, d.chunks)
