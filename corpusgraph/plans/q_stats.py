@@ -246,15 +246,6 @@ def ag25(d):
     return rounded(stats.graph_insights(graph.degree_centrality(d.doc_edges, seeds), graph.paths(d.doc_edges, seeds)))
 
 
-@query("gr13_comprehensive_context", "nodes", "edges", "selection", sql=_OVER + _DEPS.replace(", fs AS (SELECT DISTINCT query_id, file_path FROM selection JOIN nodes USING (id))", "") + """
-SELECT o.query_id, total_files, total_chunks, node_types, d.n AS total_dependencies FROM o
-LEFT JOIN (SELECT query_id, count(*) AS n FROM deps GROUP BY 1) d ON d.query_id = o.query_id""")
-def gr13(d):
-    c = stats.comprehensive_context(d.edges, d.nodes, d.selection)
-    return c["system_overview"].drop("types_list").join(
-        c["dependency_graph"].select("query_id", "total_dependencies"), "query_id", "left")
-
-
 @query("jn11_pairwise_relations", "chunks", ctes=_RES, sql="""
 SELECT query_id, rank, from_name, to_name, relationship FROM (
   SELECT a.query_id, a.name AS from_name, b.name AS to_name,
