@@ -1,13 +1,15 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-States are contexts of up to ``DEPTH`` previous words. A context is a candidate if it makes up ``CONTEXT_MIN`` of the training
-tokens and its suffix is a state; it is retained if the distribution behind it diverges from that of its suffix by
-``DIVERGENCE`` nats or more. A state keeps the next words that make up ``ENTRY_MIN`` of the training tokens together with it; the
-rest of its mass and ``PSEUDO`` further counts are given to its suffix's distribution, down to the smoothed word frequencies,
-so that the probabilities of every state sum to one. A token is scored by the longest suffix of its past that is a state.
-
-All thresholds are shares of the training tokens. So words above a share of f are at most 1 / f, and the tree and the table of
-common words that the tasks hold are bounded whatever the corpus; rare words meet their counts in a join.
+States are contexts of up to ``DEPTH`` previous words. A context is a candidate if it occurs often enough and its suffix is a
+state; it is retained if what follows it diverges from what its suffix predicts: its occurrences times the divergence, the
+log-likelihood that the context wins, have to pay for its entries (``PER_STATE`` and ``PER_ENTRY`` nats). A state keeps the next
+words that occur often enough behind it; the rest of its mass and ``PSEUDO`` further counts are given to its suffix's
+distribution, down to the smoothed word frequencies, so that the probabilities of every state sum to one. A token is scored by
+the longest suffix of its past that is a state.
+
+"Often enough" is a fixed number of occurrences, and in large corpora a multiple of the square root of the training tokens. So
+the tree grows with the corpus and gets finer, while the tasks hold sqrt(tokens) / ``ENTRY_ROOT`` entries a level and as many
+words at most; rarer words meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import functions as F
 from corpusgraph.llm.blocks import TOKEN_BYTES, U64, hash_words, mix, signed, text_blocks, words
 from corpusgraph.session import materialize
 
-COMMON_MIN = 1e-6
-NEXT_MIN, CONTEXT_MIN, ENTRY_MIN = 1e-5, 1e-4, 2e-6
-DEPTH = 2
-DIVERGENCE = 0.02
+#: Occurrences that a context and an entry need, and the multiples of sqrt(tokens) that they need in large corpora.
+CONTEXT_MIN, ENTRY_MIN = 8, 3
+CONTEXT_ROOT, ENTRY_ROOT = 0.02, 0.004
+DEPTH = 4
+PER_STATE, PER_ENTRY = 6.0, 2.0
 PSEUDO = 5.0
 #: Hash of the end token, which no text can contain.
 END = hash_words("end\0of\0text", TOKEN_BYTES) ^ U64(0x5555555555555555)
@@ -37,6 +40,12 @@ def held_out(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 10 == 0
 
 
+def enough(n: int) -> tuple[float, float]:
+    """Occurrences that a context and an entry (or a word that the tasks hold) need among ``n`` training tokens."""
+    root = float(np.sqrt(n))
+    return max(CONTEXT_MIN, CONTEXT_ROOT * root), max(ENTRY_MIN, ENTRY_ROOT * root)
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes with one end token behind each text, index of the first token of each text + total)."""
     word, _, _, first = words(data, offsets, TOKEN_BYTES)
@@ -142,19 +151,19 @@ def probability(tree: Tree, level: int, contexts_: list[np.ndarray], word: np.nd
 
 
 def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
-    """(suffix tree, counts of all words) of ``docs``. Of the counts, the driver sees common words only (1 / COMMON_MIN at
-    most), of the contexts only entries above ENTRY_MIN."""
+    """(suffix tree, counts of all words) of ``docs``. The driver sees words, contexts and entries only that occur ``enough``."""
     spark = docs.sparkSession
     rows = docs.select("text")
     counts = materialize(rows.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    common = counts.filter(F.col("n") >= COMMON_MIN * n).toPandas()
+    often, least = enough(n)
+    common = counts.filter(F.col("n") >= least).toPandas()
     word, count = common["word"].to_numpy(np.int64).view(U64), common["n"].to_numpy(np.int64)
     order = np.argsort(word)
     tree = Tree(n, types, word[order], count[order])
-    nexts = tree.word[tree.count >= NEXT_MIN * n]
+    nexts = tree.word
     # a candidate: its hash, its count, and its words from the nearest to the oldest
-    starts = tree.word[(tree.count >= CONTEXT_MIN * n) & (tree.word != END)]
+    starts = tree.word[(tree.count >= often) & (tree.word != END)]
     candidates = [(extend(None, starts), tree.count[find(tree.word, starts)], [starts])] if len(starts) else []
     for depth in range(1, DEPTH + 1):
         if not candidates:
@@ -164,7 +173,7 @@ def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
         state, total, path = state[order], total[order], [w[order] for w in path]
         shared = spark.sparkContext.broadcast((state, nexts))
         entries = (rows.mapInArrow(_count_next(shared, depth), "state long, next long, n long")
-                   .groupBy("state", "next").agg(F.sum("n").alias("n")).filter(F.col("n") >= ENTRY_MIN * n).toPandas())
+                   .groupBy("state", "next").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas())
         owner, following = entries["state"].to_numpy(np.int64), nexts[entries["next"].to_numpy(np.int64)]
         times = entries["n"].to_numpy(np.int64)
         # divergence from the suffix's distribution, the words without an entry taken as one
@@ -176,7 +185,7 @@ def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
         explained = np.bincount(owner, p, minlength=len(state))
         rest, rest_p = np.maximum(1 - seen, 1e-12), np.maximum(1 - explained, 1e-12)
         gain = np.bincount(owner, own * np.log(own / p), minlength=len(state)) + rest * np.log(rest / rest_p)
-        keep = gain >= DIVERGENCE
+        keep = total * gain >= PER_STATE + PER_ENTRY * np.bincount(owner, minlength=len(state))
         key = followed(state[owner], following)
         use = keep[owner]
         order = np.argsort(key[use])
@@ -185,7 +194,7 @@ def fit(docs: DataFrame) -> tuple[Tree, DataFrame]:
                                  key[use][order], times[use][order]))
         candidates = []
         if depth < DEPTH:
-            candidates = _longer(tree, depth, state, keep, path, owner, following, times, CONTEXT_MIN * n)
+            candidates = _longer(tree, depth, state, keep, path, owner, following, times, often)
     return tree, counts
 
 
@@ -276,7 +285,7 @@ def score(docs: DataFrame, learn_from: Column | None = None) -> DataFrame:
     parts = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         _score(shared), f"row long, doc_id {kind}, held_out boolean, word long, times long, n_tokens long, n_known long, "
                         "base_score double, score double")
-    rare = counts.filter(F.col("n") < COMMON_MIN * tree.n).withColumnRenamed("n", "count")
+    rare = counts.filter(F.col("n") < enough(tree.n)[1]).withColumnRenamed("n", "count")
     met = parts.join(rare, "word", "left")
     gain = F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce("count", F.lit(0)) + F.lit(0.1))).otherwise(0.0)
     summed = met.groupBy("row").agg(

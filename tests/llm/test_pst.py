@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusgraph.llm import pst
 
@@ -34,10 +35,11 @@ def test_base_scores_equal_brute_force(documents, messy):
 
 def test_probabilities_of_every_state_sum_to_one(documents):
     tree, counts = pst.fit(documents.select("text"))
-    vocabulary = np.array([r.word for r in counts.collect()], np.int64).view(np.uint64)
-    root = (tree.count[pst.find(tree.word, vocabulary)] + 0.1) / tree.spread
+    known = counts.collect()  # words that the tasks hold, and rarer ones
+    vocabulary = np.array([r.word for r in known], np.int64).view(np.uint64)
+    root = (np.array([r.n for r in known]) + 0.1) / tree.spread
     unknown = 0.1 / tree.spread
-    assert abs(root.sum() + unknown - 1) < 1e-9 and len(tree.levels) == 2
+    assert abs(root.sum() + unknown - 1) < 1e-9 and len(tree.levels) >= 2
     for state in tree.levels[0].state[:20]:
         p = pst.probability(tree, 1, [np.full(len(vocabulary), state)], vocabulary, root)
         back = tree.levels[0].back[pst.find(tree.levels[0].state, np.array([state]))][0]
@@ -93,3 +95,21 @@ def test_edge_tables(spark):
     only_held_out = next(i for i in range(100) if held_out(i))
     r = pst.score(spark.createDataFrame([(only_held_out, "a b")], "doc_id long, text string")).first()
     assert (r.n_known, r.train_tokens) == (0, 0) and abs(r.base_score) < 1e-9 and abs(r.score) < 1e-9
+
+
+def test_gain_on_unseen_documents_grows_with_the_corpus(spark):
+    """Contexts help on documents that nothing was learned from, the more so the more there is to learn from."""
+    gains, states = [], []
+    for size in ("sf0.001", "sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text").repartition(4)
+        base, own = pst.score(docs).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+        gains.append(1 - own / base)
+        states.append(sum(len(x.state) for x in pst.fit(docs.filter(~pst.held_out()))[0].levels))
+    assert 0 < gains[0] < gains[1] < gains[2] and states[0] < states[1] < states[2]
+    assert gains[2] > 0.06
+
+
+def test_what_occurs_often_enough_grows_slower_than_the_corpus():
+    assert pst.enough(1000) == (pst.CONTEXT_MIN, pst.ENTRY_MIN)
+    shares = [pst.enough(n)[0] / n for n in (10**6, 10**8, 10**10)]
+    assert shares[0] > shares[1] > shares[2] and pst.enough(10**10)[1] > pst.enough(10**8)[1]
