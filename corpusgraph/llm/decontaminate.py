@@ -2,8 +2,8 @@
 
 Each mask picks some of the word positions of a window and ignores the others, so that substituted words fall into the gaps
 of some window. Windows of benchmark items and of texts with equal hashes are joined, and around each hit the overlap along
-its diagonal is verified: words that agree count +1, words that differ ``MISMATCH``; the best stretch is contamination if
-``MIN_MATCH`` words agree in it (all words of a shorter item) with an identity of ``MIN_IDENTITY``.
+its diagonal is verified: a stretch is contamination if ``MIN_MATCH`` words agree in it (all words of a shorter item) and at
+least ``AGREE`` of every ``AGREE`` + 1.
 
 A bitmap of the benchmark's hashes of bounded size goes to the tasks, so that only windows of texts that may hit are
 shuffled. A benchmark beyond the bitmap's bound makes it less selective, never wrong.
@@ -22,12 +22,10 @@ from corpusgraph.llm.blocks import U64, mix, signed, text_blocks, words
 from corpusgraph.session import materialize
 
 #: Fixed masks: 1 counts, 0 is ignored. Every stretch that the verification accepts in an item of ``MIN_MATCH`` words or more
-#: holds a window of one of them without a substitution, whatever the pattern of the others (tests enumerate all); a shorter
+#: holds a window of one of them without a substitution, whatever the pattern of the others (a test proves it); a shorter
 #: item must agree in all words, so that the last mask finds it.
 MASKS = ["111011", "1100001011", "111100001", "11111"]
-MIN_MATCH, MIN_IDENTITY, MISMATCH = 12, 0.75, -2
-#: Words kept on both sides of the hits of a text.
-MARGIN = 64
+MIN_MATCH, AGREE = 12, 3
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 _FACTORS = mix(np.arange(901, 901 + max(map(len, MASKS)), dtype=U64)) | U64(1)
 
@@ -95,8 +93,9 @@ def _may_hit(bitmap: np.ndarray, value: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _regions(shared):
-    """One row for each stretch of a text with possible hits: its words and the hashes that may hit."""
+def _regions(shared, margin: int):
+    """One row for each stretch of a text with possible hits: its words, ``margin`` more on both sides, and the hashes that may
+    hit. With the longest item's words as margin, every diagonal through a hit lies in one region."""
     kind = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +113,11 @@ def _regions(shared):
                 order = np.argsort(at, kind="stable")
                 at, value = at[order], signed(value[order])
                 row = np.searchsorted(first, at, "right") - 1
-                cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] - at[:-1] > MARGIN), True]) \
+                cuts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] - at[:-1] > margin), True]) \
                     if len(at) else np.zeros(1, int)
                 for i, j in zip(cuts[:-1], cuts[1:]):
                     r = row[i]
-                    low, high = max(first[r], at[i] - MARGIN), min(first[r + 1], at[j - 1] + max(map(len, MASKS)) + MARGIN)
+                    low, high = max(first[r], at[i] - margin), min(first[r + 1], at[j - 1] + max(map(len, MASKS)) + margin)
                     out.append((ids[rows.start + int(r)].as_py(), int(low - first[r]), signed(word[low:high]),
                                 [{"hash": int(v), "at": int(a - low)} for a, v in zip(at[i:j], value[i:j])]))
             if out:
@@ -131,14 +130,27 @@ def _regions(shared):
 
 
 def overlap(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Best stretch where item word i faces text word i + shift: (first item word, words, words that agree)."""
+    """The accepted stretch with most agreeing words where item word i faces text word i + shift, the shortest and then the
+    earliest of equal ones: (first item word, words, words that agree), all 0 if none is accepted."""
     low, high = max(0, -shift), min(len(item), len(text) - shift)
     agree = item[low:high] == text[low + shift:high + shift]
-    total = np.r_[0, np.cumsum(np.where(agree, 1, MISMATCH))]
-    gain = total - np.minimum.accumulate(total)
-    end = int(gain.argmax())
-    start = int(total[:end + 1].argmin())
-    return low + start, end - start, int(agree[start:end].sum())
+    # a stretch holds AGREE of AGREE + 1 words if its sum of +1 and -AGREE is not negative
+    total = np.r_[0, np.cumsum(np.where(agree, 1, -AGREE))]
+    count = np.r_[0, np.cumsum(agree)]
+    # the longest such stretch to each end begins where the sum first falls as low
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    best = count - count[start]
+    most = int(best.max())
+    if most < min(MIN_MATCH, len(item)) or not most:
+        return 0, 0, 0
+    first = np.flatnonzero(agree)
+    found = []
+    for end in np.flatnonzero(best == most):
+        # without the differing words at its ends
+        a, b = first[count[start[end]]], first[count[end] - 1] + 1
+        found.append((int(b - a), int(a)))
+    size, at = min(found)
+    return low + at, size, most
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +163,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             item = col["item"][i].values.to_numpy(zero_copy_only=False)
             shift = col["shift"][i].as_py()
             at, size, agree = overlap(text, item, shift)
-            if size and agree >= min(MIN_MATCH, len(item)) and agree >= MIN_IDENTITY * size:
+            if size:
                 out.append((col["doc_id"][i].as_py(), col["item_id"][i].as_py(), agree, size,
                             col["begin"][i].as_py() + at + shift, at, agree / len(item)))
         if out:
@@ -174,9 +186,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = items.select("item_id", F.explode("seeds").alias("s")).select(
         "item_id", F.col("s.hash").alias("hash"), F.col("s.at").alias("item_at"))
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds))
+    longest = items.agg(F.coalesce(F.max(F.size("item")), F.lit(0))).first()[0]
     regions = materialize(
         docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(_regions(bitmap), "doc_id long, begin long, words array<long>, seeds array<struct<hash: long, at: long>>")
+        .mapInArrow(_regions(bitmap, longest), "doc_id long, begin long, words array<long>, seeds array<struct<hash: long, at: long>>")
         .withColumn("region", F.monotonically_increasing_id()), "regions")
     hits = (regions.select("region", F.explode("seeds").alias("s"))
             .select("region", F.col("s.hash").alias("hash"), F.col("s.at").alias("at"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from corpusgraph.llm import decontaminate
 
@@ -98,10 +99,64 @@ def test_substitutions_equal_brute_force_diagonals(spark):
     for d, row in enumerate(rows):
         for k, item in enumerate(items):
             for shift in range(-len(item) + 1, len(row)):
-                _, size, agree = decontaminate.overlap(coded(row), coded(item), shift)
-                if size and agree >= min(decontaminate.MIN_MATCH, len(item)) and agree >= decontaminate.MIN_IDENTITY * size:
-                    want[d, k] = max(agree, want.get((d, k), 0))
+                low, high = max(0, -shift), min(len(item), len(row) - shift)
+                same = [item[i] == row[i + shift] for i in range(low, high)]
+                if sum(same) >= min(12, len(item)):
+                    want[d, k] = max(accepted(same, min(12, len(item)))[0], want.get((d, k), 0))
+    want = {pair: n for pair, n in want.items() if n}
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
     found = decontaminate.contaminations(docs, bench).collect()
     assert {(r.doc_id, r.item_id): r.n_match for r in found} == want and len(want) > 150
+
+
+def accepted(same, least):
+    """(most agreeing words, fewest words) of all stretches by the definition: ``least`` words agree, and three of four."""
+    best = (0, 0)
+    for a in range(len(same)):
+        n = 0
+        for b in range(a, len(same)):
+            n += same[b]
+            if n >= least and 4 * n >= 3 * (b + 1 - a):
+                best = max(best, (n, -(b + 1 - a)))
+    return best[0], -best[1]
+
+
+def test_stretches_by_definition():
+    rng = random.Random(6)
+    for _ in range(400):
+        same = [rng.random() < rng.choice([0.3, 0.7, 0.9, 1.0]) for _ in range(rng.randint(1, 70))]
+        item = np.arange(len(same))
+        text = np.where(same, item, -1)
+        at, size, agree = decontaminate.overlap(text, item, 0)
+        assert (agree, size) == accepted(same, min(12, len(same)))
+        assert sum(same[at:at + size]) == agree
+
+
+@pytest.mark.parametrize("same", [[1] * 12 + [0, 1, 1] * 15 + [0, 0], [1] * 40 + ([1] * 7 + [0] * 3) * 40])
+def test_a_weak_tail_hides_nothing(spark, same):
+    item = [f"w{i}" for i in range(len(same))]
+    text = " ".join(["before"] * 9 + [w if s else "other" for w, s in zip(item, same)])
+    docs = spark.createDataFrame([(1, text), (2, "clean words only")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    got = decontaminate.contaminations(docs, bench).collect()
+    assert [(r.doc_id, r.item_id, r.n_match, r.n_words) for r in got] == [(1, 5, *accepted([bool(s) for s in same], 12))]
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()] == [2]
+
+
+def test_every_accepted_stretch_holds_a_seed():
+    """The largest sum of +1 and -3 over sequences without a window of any mask, by their last nine words: with 12 agreeing
+    words it is always negative, so that no accepted stretch goes without a seed."""
+    masks = decontaminate.MASKS
+    best = {((), 0): 0}
+    for length in range(1, 200):
+        longer: dict = {}
+        for (past, agree), total in best.items():
+            for same in (0, 1):
+                here = (*past, same)
+                if any(len(here) >= len(m) and all(x or c == "0" for x, c in zip(here[-len(m):], m)) for m in masks):
+                    continue
+                key = (here[-9:], min(12, agree + same))
+                longer[key] = max(longer.get(key, -9999), total + (1 if same else -3))
+        best = longer
+        assert max((v for (_, agree), v in best.items() if agree == 12), default=-1) < 0
