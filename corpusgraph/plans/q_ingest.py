@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import chunks as C
+from corpusgraph.functions import metadata as M
 from corpusgraph.functions.text import preview
 from corpusgraph.operators import embed, outline, relate
 from corpusgraph.plans import sqltext as S
@@ -271,6 +272,20 @@ def snk2(d):
     return table.read()
 
 
+@query("snk2_metadata_round_trip", sql="""
+SELECT 'd' || doc_id AS id, lang, upper(source) AS source, CAST(n_chars AS VARCHAR) AS n_chars, text, 4 AS n_keys FROM documents""")
+def snk2_metadata(d):
+    """Metadata of two writers, merged with the last one winning, stored as JSON and read again."""
+    first = F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("text"), "text")
+    last = F.create_map(F.lit("source"), F.upper("source"), F.lit("n_chars"), F.col("n_chars").cast("string"))
+    rows = d.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
+                              M.encoded(M.merged(first, last)).alias("metadata"))
+    table = buckets.create(rows, run_dir(d.spark, "nodes"), "id")
+    read = table.read().withColumn("m", M.decoded(F.col("metadata")))
+    return read.select("id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("lang", "source", "n_chars", "text")],
+                       F.size("m").alias("n_keys"))
+
+
 @query("snk3_delete_by_file", "chunks", sql="SELECT id, file_path FROM chunks WHERE file_path NOT IN (SELECT file_path FROM chunks WHERE project_id = 'src9')")
 def snk3(d):
     table = buckets.create(d.chunks.select("id", "file_path"), run_dir(d.spark, "chunks"), "file_path")
