@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import dir_name, extension
+from corpusgraph.session import materialize
 
 
 def _desc_nulls(cols: list[str | Column]) -> list[Column]:
@@ -75,37 +76,33 @@ def next_matching(df: DataFrame, keys: list[str], order_col: str, predicate: Col
     return df.withColumn(out_col, F.min(F.when(predicate, F.col(order_col))).over(w))
 
 
-def running_mean(df: DataFrame, time_col: str, tie_col: str, value_col: str,
-                 out_col: str = "running_mean", bucket: str = "hour") -> DataFrame:
-    """Mean of all rows up to each row in time order.
+def _prefix(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running totals up to each row in ``order``, one column for each of ``sums``.
 
-    Computed as time-bucket totals, a running total over the few buckets, and a window inside each
-    bucket, so no task ever holds the whole table.
+    A two-level scan: sampled splitters over the whole order deal the rows evenly, however they crowd in time; each
+    block's totals (one row a block) are summed over the blocks before it, and a window runs inside each block. ``order``
+    has to tell rows apart, or rows that it doesn't tell apart stay in one block.
     """
-    rows = df.withColumn("_b", F.date_trunc(bucket, time_col))
-    totals = rows.groupBy("_b").agg(F.sum(value_col).alias("_s"), F.count(value_col).alias("_c"))
+    rows = materialize(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()), "blocks")
+    totals = rows.groupBy("_b").agg(*[F.sum(v).alias(f"_t_{c}") for c, v in sums.items()])
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        "_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"),
-        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"))
-    inside = Window.partitionBy("_b").orderBy(time_col, tie_col).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.join(carried, "_b")
-        .withColumn(out_col, (F.col("_s0") + F.sum(value_col).over(inside))
-                    / (F.col("_c0") + F.count(value_col).over(inside)))
-        .drop("_b", "_s0", "_c0"))
+    carried = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_p_{c}") for c in sums])
+    inside = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(carried, "_b").withColumns(
+        {c: F.col(f"_p_{c}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for c, v in sums.items()}).drop(
+            "_b", *[f"_p_{c}" for c in sums])
 
 
-def running_sum(df: DataFrame, time_col: str, ties: list[str], value_col: str, out_col: str,
-                bucket: str = "hour") -> DataFrame:
-    """Sum of all rows up to each row in time order, by the same two steps as ``running_mean``."""
-    rows = df.withColumn("_b", F.date_trunc(bucket, time_col))
-    totals = rows.groupBy("_b").agg(F.sum(value_col).alias("_s"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
-    inside = Window.partitionBy("_b").orderBy(time_col, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(carried, "_b").withColumn(
-        out_col, F.col("_s0") + F.sum(value_col).over(inside)).drop("_b", "_s0")
+def running_mean(df: DataFrame, time_col: str, tie_col: str, value_col: str, out_col: str = "running_mean") -> DataFrame:
+    """Mean of all rows up to each row in time order; nulls don't count."""
+    value = F.col(value_col)
+    both = _prefix(df, [time_col, tie_col], {"_sum": value.cast("double"), "_count": F.when(value.isNotNull(), 1).otherwise(0)})
+    return both.withColumn(out_col, F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count"))).drop("_sum", "_count")
+
+
+def running_sum(df: DataFrame, time_col: str, ties: list[str], value_col: str, out_col: str) -> DataFrame:
+    """Sum of all rows up to each row in time order, by the same two levels as ``running_mean``."""
+    return _prefix(df, [time_col, *ties], {out_col: F.col(value_col)})
 
 
 def page(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
