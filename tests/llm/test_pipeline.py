@@ -12,11 +12,11 @@ from .test_suffix import brute
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_entry_registers_all_eleven():
+def test_entry_registers_all_operators():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(QUERIES) | {"pipeline"} <= names
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(QUERIES) | {"pipeline"} <= names
 
 
 def test_stages_decide_like_brute_force(spark, tmp_path):
