@@ -2,9 +2,10 @@
 
 A classifier fitted on the labelled table predicts for every document how likely it belongs to each domain. Document rates
 x >= 0 (how often a document is to be seen) are then fitted so that the expected tokens of each domain, the sum over all
-documents of rate x tokens x posterior, match target totals. The fit is projected-gradient least squares: an iteration is one
-pass over (tokens, posteriors) that returns a single sum per domain; the rates themselves are never gathered, since a
-document's rate follows from its posteriors and the list of past residuals.
+documents of rate x tokens x posterior, match target totals. The fit is projected-gradient least squares in its implicit
+form: a step takes every rate to max(0, rate - posteriors . multipliers), the gradient being that at the end of the step, and
+its few multipliers, one a domain, are found by Newton steps. A Newton step is one pass over (tokens, posteriors) that returns
+a few sums a task; the rates themselves are never gathered, since they follow from the posteriors and the list of steps.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ PREFIX = 4
 DOMAINS = ["good", "low", "toxic"]
 #: Shares of all tokens that each domain shall have.
 TARGETS = {"good": 0.7, "low": 0.3, "toxic": 0.0}
-MAX_ITERATIONS, TOLERANCE = 60, 1e-4
+#: A domain's total is met within this share of all tokens; the multipliers of a step are exact to PRECISION of all tokens.
+TOLERANCE, PRECISION = 1e-4, 1e-6
+#: Cost of moving rates in a step against that of missing targets; a Newton step tries HALVINGS lengths in its one pass.
+STRENGTH, HALVINGS = 0.02, 8
 INTERCEPT_STEPS = 200
 
 
@@ -168,53 +172,91 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(batch.schema.get_field_index("n_tokens")).to_numpy().astype(float), p
 
 
-def _sums(steps: list[np.ndarray], second: bool):
-    """Per task: expected tokens of each domain at the current rates, or the products of posteriors."""
+def _sums(steps: list[np.ndarray], moves: list[np.ndarray]):
+    """Per task and move: expected tokens of each domain after it, products of posteriors over rates above 0, squared rates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(DOMAINS)
-        total = np.zeros((n, n) if second else n)
+        total = np.zeros((len(moves), n + n * n + 1))
         for batch in batches:
             t, p = _columns(batch)
-            total += (p * t[:, None]).T @ p if second else (t * rates(p, steps)) @ p
+            before = rates(p, steps)
+            for at, move in enumerate(moves):
+                x = np.maximum(0.0, before - p @ move)
+                total[at, :n] += (t * x) @ p
+                total[at, n:-1] += ((p * (t * (x > 0))[:, None]).T @ p).ravel()
+                total[at, -1] += t @ (x * x)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "value"])
 
     return run
 
 
-def _gather(features: DataFrame, steps: list[np.ndarray], second: bool = False) -> np.ndarray:
-    rows = (features.mapInArrow(_sums(steps, second), "i long, value double")
+def _gather(features: DataFrame, steps: list[np.ndarray], moves: list[np.ndarray]) -> np.ndarray:
+    rows = (features.mapInArrow(_sums(steps, moves), "i long, value double")
             .groupBy("i").agg(F.sum("value").alias("value")).collect())
-    out = np.zeros(len(DOMAINS) ** 2 if second else len(DOMAINS))
+    out = np.zeros(len(moves) * (len(DOMAINS) + len(DOMAINS) ** 2 + 1))
     for r in rows:
         out[r["i"]] = r["value"]
-    return out
+    return out.reshape(len(moves), -1)
 
 
-def fit_steps(features: DataFrame, targets: dict[str, float], iterations: int = MAX_ITERATIONS,
+def _step(features: DataFrame, steps: list[np.ndarray], wanted: np.ndarray, weight: np.ndarray, total: float,
+          strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """The next step and each domain's share of all tokens after it.
+
+    The step minimises the weighted squared miss of the targets plus ``strength`` times the squared change of the rates. Its
+    multipliers minimise a convex function of one variable a domain, smooth and piecewise quadratic, so that Newton steps
+    whose lengths are chosen by its value end at the minimum.
+    """
+    n = len(DOMAINS)
+
+    def dual(moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sums = _gather(features, steps, moves) / total
+        return sums, np.array([s[-1] / 2 + strength * (m * m / weight).sum() / 2 + m @ wanted for s, m in zip(sums, moves)])
+
+    move = np.zeros(n)
+    (state,), (value,) = dual([move])
+    while True:
+        slope = wanted - state[:n] + strength * move / weight
+        if np.abs(slope).max() <= PRECISION:
+            break
+        whole = np.linalg.solve(state[n:-1].reshape(n, n) + np.diag(strength / weight), slope)
+        moves = [move - whole / 2 ** i for i in range(HALVINGS)]
+        states, values = dual(moves)
+        best = int(values.argmin())
+        if not values[best] < value:  # as exact as doubles allow
+            break
+        move, state, value = moves[best], states[best], values[best]
+    return move, state[:n]
+
+
+def fit_steps(features: DataFrame, targets: dict[str, float], strength: float = STRENGTH,
               tolerance: float = TOLERANCE) -> list[np.ndarray]:
     """Steps of the projected gradient until every domain is within ``tolerance`` of all tokens of its target.
 
-    The objective is the squared error of each domain's total relative to the domain's own weight in the corpus, in the
-    metric that counts a document by its tokens, so that rates depend on posteriors and not on lengths. The step is one over
-    the largest eigenvalue of the Hessian. Targets that no rates >= 0 can meet end at the closest totals.
+    The objective is the squared error of each domain's total relative to the domain's own weight in the corpus; changes of
+    rates count by a document's tokens, so that rates depend on posteriors and not on lengths. The first step gives the rates
+    of least squared error plus ``strength`` times their squared distance from 1. Further steps, each from the rates before
+    it, are taken as long as they at least halve the largest miss: they meet targets that can be met. Targets that no rates
+    >= 0 can meet stop there, at the optimum of the first problem (or of its last useful step). The plain least squares of
+    such targets is not sought: its rates are 0 for all documents but the few with the most extreme posteriors.
     """
     wanted = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    product = _gather(features, [], second=True).reshape(len(DOMAINS), -1)
-    total = product.sum()  # posteriors sum to one
+    n = len(DOMAINS)
+    (start,) = _gather(features, [], [np.zeros(n)])
+    total = start[-1]  # all rates are 1
     if total <= 0:
         return []
-    product /= total
-    weight = 1 / np.maximum(np.diag(product), 1e-6)
-    root = np.sqrt(weight)
-    rate = 1 / np.linalg.eigvalsh(root[:, None] * product * root).max()
+    weight = 1 / np.maximum(np.diag(start[n:-1].reshape(n, n)) / total, 1e-6)
     steps: list[np.ndarray] = []
-    for _ in range(iterations):
-        residual = _gather(features, steps) / total - wanted
-        if np.abs(residual).max() <= tolerance or (len(steps) > 1 and np.abs(rate * weight * residual - steps[-1]).max() < 1e-9
-                                                   and np.abs(steps[-1]).max() < 1e-9):
+    miss = np.abs(start[:n] / total - wanted).max()
+    while miss > tolerance:
+        step, shares = _step(features, steps, wanted, weight, total, strength)
+        left = np.abs(shares - wanted).max()
+        if steps and left > miss / 2:
             break
-        steps.append(rate * weight * residual)
+        steps.append(step)
+        miss = left
     return steps
 
 

@@ -40,6 +40,32 @@ def test_steps_equal_one_machine_least_squares(spark):
     assert np.allclose((t * x) @ p / t.sum(), [0.5, 0.4, 0.1], atol=2e-4)
 
 
+def test_targets_that_cannot_be_met(spark):
+    """Equal to plain projected gradient on the whole matrix, run until it stands still; no rate grows without bound."""
+    rng = np.random.default_rng(9)
+    p = np.vstack([rng.dirichlet([4, 1, 0.5], 250), rng.dirichlet([0.2, 0.2, 3], 50)])
+    t = rng.integers(0, 400, 300)
+    wanted = np.array([0.7, 0.3, 0.0])
+    df = spark.createDataFrame([(i, int(t[i]), *map(float, p[i])) for i in range(300)],
+                               "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double").repartition(4)
+    steps = mixing.fit_steps(df, dict(zip(mixing.DOMAINS, wanted)), strength=0.02)
+    weight = t.sum() / np.diag((p * t[:, None]).T @ p)
+    x = np.ones(300)
+    for _ in range(20_000):
+        miss = (t * x) @ p / t.sum() - wanted
+        x = np.maximum(0, x - 0.05 * (p @ (weight * miss) + 0.02 * (x - 1)))
+    assert np.abs(miss).max() > 0.005 and len(steps) == 1
+    assert np.allclose(mixing.rates(p, steps), x, atol=1e-3)
+
+
+def test_one_domain_and_no_tokens(spark):
+    one = spark.createDataFrame([(i, 5, 1.0, 0.0, 0.0) for i in range(9)],
+                                "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double")
+    (step,) = mixing.fit_steps(one, {"good": 0.5, "low": 0.5})[:1]
+    assert np.isfinite(step).all() and (mixing.rates(np.array([[1.0, 0, 0]]), [step]) >= 0).all()
+    assert mixing.fit_steps(one.withColumn("n_tokens", one.n_tokens * 0), {"good": 1.0}) == []
+
+
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
