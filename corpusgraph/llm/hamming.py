@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgraph.session import materialize
+from corpusgraph.session import materialize, spread
 
 BITS, SEGMENT = 32, 16
 
@@ -59,7 +59,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, bits: int = BITS) -
             break
         masks = F.expr(f"filter(sequence(0L, {(1 << SEGMENT) - 1}L), x -> bit_count(x) = {radius})")
         sides = F.array(*[F.struct(F.lit(j).alias("j"), _segment("q", j).alias("own")) for j in range(m)])
-        probes = (active.select("q", "kth", F.explode(sides).alias("s"))
+        # probes are C(16, radius) times as many as their queries, which Spark's size estimate does not see: dealt to all
+        # tasks first, and joined by a shuffle on both sides, never by a broadcast
+        probes = (spread(active, "q").select("q", "kth", F.explode(sides).alias("s"))
                   .select("q", "kth", "s.j", "s.own", F.explode(masks).alias("mask"))
                   .select("q", "kth", "j", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
         apart = [F.bit_count(_segment("differ", j)) for j in range(m)]
@@ -70,7 +72,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, bits: int = BITS) -
                 if other != j:
                     here &= apart[other] > radius if other < j else apart[other] >= radius
             counted_here |= here
-        found = (probes.join(buckets, ["j", "value"])
+        found = (probes.hint("merge").join(buckets.hint("merge"), ["j", "value"])
                  .withColumn("differ", F.col("q").bitwiseXOR(F.col("code")))
                  .withColumn("distance", F.bit_count("differ"))
                  .filter(counted_here & (F.col("distance") <= F.col("kth")))
