@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import folds
+from corpusgraph.operators.salting import salted_join
+from corpusgraph.session import materialize
 
 
 def containment_parent(chunks: DataFrame) -> DataFrame:
@@ -43,19 +45,19 @@ def calls_in_file(sites: DataFrame, chunks: DataFrame) -> DataFrame:
 def calls_across_files(sites: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(caller_id, callee_id)`` for names unknown in the caller's file: every chunk of that name elsewhere.
 
-    Only called names reach the join, and callers are distinct per (file, caller, name) before it.
+    Callers are distinct per (file, caller, name) before the join; the pairs of a frequent name are dealt to many tasks.
     """
     last = _last_by_name(chunks)
     callers = last.select("file_path", F.col("name").alias("caller_name"), F.col("id").alias("caller_id"))
     local = last.select("file_path", F.col("name").alias("callee_name"))
-    foreign = (
+    foreign = materialize(
         sites.select("file_path", "caller_name", "callee_name").distinct()
         .join(local, ["file_path", "callee_name"], "left_anti")
-        .join(callers, ["file_path", "caller_name"]))
-    known = chunks.filter(F.col("name").isNotNull()).select(
-        F.col("name").alias("callee_name"), F.col("id").alias("callee_id"), F.col("file_path").alias("_other"))
+        .join(callers, ["file_path", "caller_name"]), "callers")
+    known = materialize(chunks.filter(F.col("name").isNotNull()).select(
+        F.col("name").alias("callee_name"), F.col("id").alias("callee_id"), F.col("file_path").alias("_other")), "callees")
     return (
-        foreign.join(known, "callee_name").filter(F.col("_other") != F.col("file_path"))
+        salted_join(foreign, known, "callee_name", "caller_id", "callee_id").filter(F.col("_other") != F.col("file_path"))
         .select("caller_id", "callee_id").distinct())
 
 

@@ -337,6 +337,16 @@ def relations_dedup(edges: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("rel") == "CALLED_BY", F.col("dst")))).alias("called_by"))
 
 
+def relation_pages(edges: DataFrame, size: int = 1000) -> DataFrame:
+    """``(id, rel, page, others)``: the sorted distinct lists of ``relations_dedup`` in pages of ``size``, so that a chunk that
+    everything calls has many rows instead of one large one."""
+    from corpusgraph.operators.windows import pages
+
+    calls = edges.filter(F.col("rel").isin("CALLS", "CALLED_BY") & F.col("src").isNotNull() & F.col("dst").isNotNull())
+    rows = calls.select(F.col("src").alias("id"), "rel", F.col("dst").alias("other_id")).distinct()
+    return pages(rows, ["id", "rel"], ["other_id"], size, "others").withColumn("others", F.col("others.other_id"))
+
+
 def graph_export(chunks: DataFrame, edges: DataFrame, file_path: str | None = None,
                  project_ids: list[str] | None = None, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges for drawing; the filter applies to nodes and to the source of an edge."""

@@ -105,6 +105,26 @@ def running_sum(df: DataFrame, time_col: str, ties: list[str], value_col: str, o
     return _prefix(df, [time_col, *ties], {out_col: F.col(value_col)})
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str], out_col: str = "position") -> DataFrame:
+    """Place of each row, from 1, among the rows of its group; no task sorts a whole large group.
+
+    The rows are dealt evenly in order of group and ``order``; a group that runs over several blocks goes on from the sum of
+    its rows in the blocks before. Columns of ``by`` are not null, and ``order`` tells the rows of a group apart.
+    """
+    rows = materialize(df.repartitionByRange(*by, *order).withColumn("_b", F.spark_partition_id()), "blocks")
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("_b", *by).agg(F.count("*").alias("_n")).select(
+        "_b", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_p"))
+    inside = Window.partitionBy("_b", *by).orderBy(*order)
+    return rows.join(carried, ["_b", *by]).withColumn(out_col, F.col("_p") + F.row_number().over(inside)).drop("_b", "_p")
+
+
+def pages(df: DataFrame, by: list[str], order: list[str], size: int, out_col: str) -> DataFrame:
+    """``(*by, page, out_col)``: the rows of each group in order, as arrays of ``order`` structs of at most ``size``."""
+    placed = numbered(df.select(*by, *order), by, order).withColumn("page", F.floor((F.col("position") - 1) / size))
+    return placed.groupBy(*by, "page").agg(F.sort_array(F.collect_list(F.struct(*order))).alias(out_col))
+
+
 def page(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(skip).limit(limit)
 

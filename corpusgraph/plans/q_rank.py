@@ -245,6 +245,19 @@ def ret11(d):
     return out.select("query_id", "id", F.array_join(line, "|").alias("context"))
 
 
+@query("ret11_context_pages", "chunks", "doc_edges", sql=_CONTEXT + """
+, r AS (SELECT DISTINCT project_id AS query_id, id FROM chunks)
+, c AS (SELECT *, (row_number() OVER (PARTITION BY query_id, id ORDER BY depth, context_type, other_id) - 1) // 1000 AS page
+  FROM (SELECT DISTINCT query_id, id, depth, context_type, other_id FROM context))
+SELECT r.query_id, r.id, coalesce(page, 0) AS page,
+  coalesce(string_agg(depth || ':' || context_type || ':' || other_id, '|' ORDER BY depth, context_type, other_id), '') AS context
+FROM r LEFT JOIN c USING (query_id, id) GROUP BY ALL""")
+def ret11_pages(d):
+    out = rank.context_pages(doc_seeds(d), graph.chunk_context(d.doc_edges, d.chunks, doc_seeds(d)))
+    line = F.transform("context", lambda x: F.concat_ws(":", x["depth"].cast("string"), x["context_type"], x["other_id"]))
+    return out.select("query_id", "id", "page", F.array_join(line, "|").alias("context"))
+
+
 @query("so4_merge_context", "chunks", "doc_edges", ctes=_RES, sql=_CONTEXT.replace("(SELECT project_id AS query_id, id FROM chunks)", "(SELECT query_id, id FROM ranked WHERE rank <= 20)") + """
 SELECT query_id, context_type, row_number() OVER (PARTITION BY query_id, context_type ORDER BY rank, depth, other_id, id) AS position, other_id
 FROM context JOIN ranked USING (query_id, id)""")

@@ -225,6 +225,14 @@ def ag21(d):
     return joined(stats.relations_dedup(d.doc_edges), "calls", "called_by")
 
 
+@query("ag21_relation_pages", "doc_edges", sql="""
+, r AS (SELECT DISTINCT src AS id, rel, dst FROM doc_edges WHERE rel IN ('CALLS', 'CALLED_BY'))
+SELECT id, rel, page, string_agg(dst, '|' ORDER BY dst) AS others
+FROM (SELECT *, (row_number() OVER (PARTITION BY id, rel ORDER BY dst) - 1) // 1000 AS page FROM r) GROUP BY id, rel, page""")
+def ag21_pages(d):
+    return joined(stats.relation_pages(d.doc_edges), "others")
+
+
 @query("ag22_top_central", "edges", "nodes", "selection", sql=_DEGREE.format(edges="edges") + """
 SELECT query_id, rank, id, name, node_type, centrality FROM (
   SELECT query_id, s.id, n.name, n.node_type, round(degree * 1.0e0 / max(degree) OVER (PARTITION BY query_id) + 1e-9, 6) AS centrality,
