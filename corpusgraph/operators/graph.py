@@ -53,12 +53,15 @@ def build_edges(chunks: DataFrame) -> DataFrame:
 
 
 def walk(edges: DataFrame, seeds: DataFrame, rel: str, depth: int) -> DataFrame:
-    """``(query_id, id, other_id, depth)`` reached along one relationship within ``depth`` hops."""
+    """``(query_id, id, other_id, depth)`` reached along one relationship within ``depth`` hops.
+
+    Each level is stored and starts from the one before it, so a walk takes one join a hop.
+    """
     step = edges.filter(F.col("rel") == rel).select(F.col("src").alias("_at"), F.col("dst").alias("_next"))
     front = seeds.select("query_id", "id", F.col("id").alias("_at"))
     levels = []
     for hop in range(1, depth + 1):
-        front = front.join(step, "_at").select("query_id", "id", F.col("_next").alias("_at")).distinct()
+        front = materialize(front.join(step, "_at").select("query_id", "id", F.col("_next").alias("_at")).distinct(), "level")
         levels.append(front.select("query_id", "id", F.col("_at").alias("other_id"), F.lit(hop).alias("depth")))
     return _union(levels)
 
