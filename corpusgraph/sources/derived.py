@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusgraph.session import materialize
 
@@ -280,10 +281,9 @@ def dependencies(name: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
 
 
-# views that stand for stored tables: written once per session and folder, then read as often as needed (the tables of a
-# folder are taken as fixed while a session lasts)
+# views that stand for stored tables: written once per session and state of the folder's files, then read as often as needed
 STORED = ("edges", "doc_edges", "nodes")
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple, DataFrame] = {}
 
 
 class Data:
@@ -296,7 +296,7 @@ class Data:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in STORED:
-            key = (self.spark.sparkContext.applicationId, self.folder, name)
+            key = (self.spark.sparkContext.applicationId, self.folder, name, self._state(name))
             if key not in _WRITTEN:
                 _WRITTEN[key] = materialize(self._view(name), name)
             return _WRITTEN[key]
@@ -304,6 +304,18 @@ class Data:
             return self._view(name)
         raise AttributeError(name)
 
+    def _state(self, name: str) -> tuple:
+        """Path, size and time of the files a view is made from."""
+        todo, tables = [name], set()
+        while todo:
+            for found in dependencies(todo.pop()):
+                tables.add(found) if found in BASE_TABLES else todo.append(found)
+        files = (self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .load([f"{self.folder}/{t}.parquet" for t in sorted(tables)]).select("path", "length", "modificationTime"))
+        # one row for the whole list, not one for each file
+        return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"),
+                               F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+
     def _view(self, name: str) -> DataFrame:
         return self.spark.sql(VIEWS[name], **{d: getattr(self, d) for d in dependencies(name)})
 
