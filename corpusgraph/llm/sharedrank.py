@@ -118,15 +118,19 @@ class Graph:
 
 def _graph(bottom: pd.DataFrame, rounds: list[pd.DataFrame], rest: pd.DataFrame, vocabulary: np.ndarray,
            weight: np.ndarray, ids: pa.Array) -> Graph:
-    number: dict[int, int] = {}
-    for frame in (bottom, *rounds):
+    number: dict[int, int] = {node: at for at, node in enumerate(bottom["node"].tolist())}
+    made = []
+    for frame in rounds:
+        # a pair that lost to its neighbours in some items can win there rounds later: its node is made once, in the first round
+        frame = frame[~frame["node"].isin(number.keys())]
+        made.append(frame)
         for node in frame["node"].tolist():
-            number.setdefault(node, len(number))
+            number[node] = len(number)
     of = lambda c: np.array([number[x] for x in c.tolist()], np.int64)
     order = np.argsort(rest["item"].to_numpy(), kind="stable")
     item = rest["item"].to_numpy()[order]
     return Graph(weight, np.searchsorted(vocabulary, bottom["word"].to_numpy(np.int64).view(U64)),
-                 bottom["times"].to_numpy(np.int64), [(of(r["low"]), of(r["high"])) for r in rounds],
+                 bottom["times"].to_numpy(np.int64), [(of(r["low"]), of(r["high"])) for r in made],
                  of(rest["node"])[order], np.flatnonzero(np.r_[True, item[1:] != item[:-1]][:len(item)]), ids)
 
 

@@ -85,6 +85,20 @@ def test_shared_sums_are_made_once(spark):
     assert len(parts) == 4 and len(set.intersection(*left.values())) == 1
 
 
+def test_pairs_that_win_again_in_a_later_round(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(24)]
+    drawn = lambda n: " ".join(rng.choices(vocabulary, [1 / (i + 2) for i in range(24)], k=n))
+    docs = [(i, drawn(rng.randint(1, 60))) for i in range(150)]
+    items = [(i, drawn(rng.randint(4, 30))) for i in range(120)]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    placed = sharedrank.item_terms(asked).select("item_id", F.col("word").alias("place"), F.col("word").alias("node"))
+    made = [r.node for x in sharedrank.share(placed)[1] for r in x.collect()]
+    assert len(made) > len(set(made))  # the case at hand
+    got = sharedrank.search(spark.createDataFrame(docs, "doc_id long, text string"), asked, 5)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items, 5)
+
+
 def test_no_rows(spark, documents):
     items = spark.createDataFrame([(1, "tie")], "item_id long, text string")
     assert sharedrank.search(documents.limit(0), items).count() == 0
