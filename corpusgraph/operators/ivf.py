@@ -36,6 +36,7 @@ class Index:
     radius: np.ndarray  # largest angle between a list's centroid and a row of it
     rows: DataFrame  # the vector table with ``bucket``, stored
     nowhere: bool  # whether there are rows without direction
+    per_group: int = 1  # lists with following numbers that make a group
 
 
 def _share(df: DataFrame, key: str, share: float) -> DataFrame:
@@ -92,8 +93,9 @@ def centroids(vectors: DataFrame, lists: int | None = None) -> np.ndarray:
     return found
 
 
-def build(vectors: DataFrame, lists: int | None = None) -> Index:
-    """Index of all rows of ``vectors`` (id, embedding, payload), with their list as ``bucket``."""
+def build(vectors: DataFrame, lists: int | None = None, group_rows: int = 1) -> Index:
+    """Index of all rows of ``vectors`` (id, embedding, payload), with their list as ``bucket``; groups of lists have about
+    ``group_rows`` rows on average."""
     found = centroids(vectors, lists)
     shared = vectors.sparkSession.sparkContext.broadcast(found)
     schema = T.StructType([*vectors.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("angle", T.DoubleType())])
@@ -107,11 +109,12 @@ def build(vectors: DataFrame, lists: int | None = None) -> Index:
             yield batch.assign(bucket=own.astype("int32"), angle=angle)
 
     rows = materialize(vectors.mapInPandas(assign, schema), "ivf")
-    radii = rows.groupBy("bucket").agg(F.max("angle").alias("radius")).toPandas()
+    radii = rows.groupBy("bucket").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).toPandas()
     radius = np.full(len(found), -1.0)  # an empty list
     inside = radii[radii["bucket"] >= 0]
     radius[inside["bucket"].to_numpy()] = inside["radius"].to_numpy()
-    return Index(found, radius, rows.drop("angle"), bool((radii["bucket"] == NOWHERE).any()))
+    per_group = max(1, int(group_rows * len(found) / max(inside["n"].sum(), 1)))
+    return Index(found, radius, rows.drop("angle"), bool((radii["bucket"] == NOWHERE).any()), min(per_group, max(len(found), 1)))
 
 
 def _order(unit: np.ndarray, index_centroids: np.ndarray) -> np.ndarray:
@@ -119,24 +122,41 @@ def _order(unit: np.ndarray, index_centroids: np.ndarray) -> np.ndarray:
     return np.argsort(-(unit @ index_centroids.T), axis=1, kind="stable")
 
 
-def probe(queries: DataFrame, index: Index, first: int, skip: int = 0, bound: str | None = None) -> DataFrame:
+def grouped(index: Index) -> DataFrame:
+    """The indexed rows with their group as ``bucket`` and their list's place in it as ``_place``."""
+    return index.rows.withColumn("_place", F.pmod("bucket", F.lit(index.per_group)).cast("int")).withColumn(
+        "bucket", F.floor(F.col("bucket") / index.per_group).cast("int"))
+
+
+def probe(queries: DataFrame, index: Index, first: int, skip: int = 0, bound: str | None = None, groups: bool = False) -> DataFrame:
     """``queries`` once for each list to look into, as ``bucket``: the ``first`` likest ones, or, with the column ``bound`` (a score
-    that a row has to reach; null: any), all others of which a row can reach it. ``skip`` lists have been looked into."""
+    that a row has to reach; null: any), all others of which a row can reach it. ``skip`` lists have been looked into.
+
+    With ``groups`` once for each group of lists that has one to look into, and ``_lists``: a bit for each of the group's lists.
+    """
     shared = queries.sparkSession.sparkContext.broadcast((index.centroids, index.radius))
-    nowhere = index.nowhere
-    schema = T.StructType([*queries.schema.fields, T.StructField("bucket", T.IntegerType())])
+    nowhere, per_group = index.nowhere, index.per_group
+    fields = [*queries.schema.fields, T.StructField("bucket", T.IntegerType())]
+    schema = T.StructType(fields + [T.StructField("_lists", T.BinaryType())] if groups else fields)
+
+    def in_groups(part: pd.DataFrame, use: np.ndarray) -> list[pd.DataFrame]:
+        rows = []
+        for group, low in enumerate(range(0, use.shape[1], per_group)):
+            own = use[:, low:low + per_group]
+            some = np.flatnonzero(own.any(axis=1))
+            bits = np.packbits(np.pad(own[some], ((0, 0), (0, per_group - own.shape[1]))), axis=1)
+            rows.append(part.iloc[some].assign(bucket=np.full(len(some), group, "int32"), _lists=[b.tobytes() for b in bits]))
+        return rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, radius = shared.value
         for batch in batches:
             for low in range(0, len(batch), 512):
                 part = batch.iloc[low:low + 512]
-                if not len(at):
-                    pairs = np.zeros((0, 2), np.int64)
-                else:
+                use = np.zeros((len(part), len(at)), bool)
+                if len(at):
                     unit = matrix(part["embedding"], at.shape[1])
                     order = _order(unit, at)
-                    use = np.zeros((len(part), len(at)), bool)
                     if bound is None:
                         np.put_along_axis(use, order[:, skip:first], True, axis=1)
                     else:
@@ -145,11 +165,17 @@ def probe(queries: DataFrame, index: Index, first: int, skip: int = 0, bound: st
                         use = best >= part[bound].fillna(-2.0).to_numpy(float)[:, None] - SLACK
                         np.put_along_axis(use, order[:, :skip], False, axis=1)
                     use &= radius[None, :] >= 0
+                if groups:
+                    rows = in_groups(part, use)
+                else:
                     pairs = np.argwhere(use)
-                rows = [part.iloc[pairs[:, 0]].assign(bucket=pairs[:, 1].astype("int32"))]
+                    rows = [part.iloc[pairs[:, 0]].assign(bucket=pairs[:, 1].astype("int32"))]
                 if nowhere and bound is None and not skip:
                     rows.append(part.assign(bucket=np.full(len(part), NOWHERE, "int32")))
-                yield pd.concat(rows, ignore_index=True)
+                    if groups:
+                        rows[-1]["_lists"] = b"\xff" * -(-per_group // 8)
+                if rows:
+                    yield pd.concat(rows, ignore_index=True)
 
     return queries.mapInPandas(run, schema)
 

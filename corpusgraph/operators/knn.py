@@ -29,35 +29,64 @@ SCORE_DIGITS = 6
 BATCH_ROWS = 4096
 BLOCK_QUERIES = 1024
 BLOCK_VECTORS = 8192
+#: Vectors scored at a time (with BLOCK_QUERIES queries), and the difference that rounding can make to a score.
+TILE_VECTORS = 2048
+ROUNDING = 1e-6
+#: Rows of a side that meet in one task at a time: both sides are sent as often as the other one has such groups.
+GROUP_QUERIES, GROUP_VECTORS = 16384, 32768
+#: Groups of queries, of BLOCK_QUERIES at least, that keep the tasks busy where there are few.
+SPREAD = 16
 #: Lists that give an exact search its bound.
 FIRST_LISTS = 4
-#: Queries that an approximate search is fitted on (the bound of what is sent to every task there).
+#: Queries that a search by lists is fitted on (the bound of what is sent to every task there).
 SAMPLE_QUERIES = 256
+#: Share of the lists left in beyond which bounds are not worth looking at.
+DENSE = 0.25
 
 
 def _top(keys: pd.DataFrame, ks: np.ndarray, queries: np.ndarray, ids: np.ndarray,
          vectors: np.ndarray, allowed) -> pd.DataFrame:
-    """Best ``k`` rows of one vector block per query; ties go to the smaller id."""
+    """Best ``k`` rows of one vector block per query; ties go to the smaller id.
+
+    The vectors are looked at in tiles in the order of their ids; after the first, only scores above a query's ``k`` th so far count.
+    """
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
     parts = []
     for lo in range(0, len(queries), BLOCK_QUERIES):
         hi = min(lo + BLOCK_QUERIES, len(queries))
-        scores = np.round(queries[lo:hi] @ vectors.T, SCORE_DIGITS) + 0.0
-        mask = allowed(lo, hi, order)
-        if mask is not None:
-            scores[~mask] = -np.inf
-        k = np.minimum(ks[lo:hi], len(ids))
-        ranked = -np.sort(-scores, axis=1)
-        bar = ranked[np.arange(hi - lo), np.maximum(k, 1) - 1][:, None]
-        above = scores > bar
-        level = (scores == bar) & (np.cumsum(scores == bar, axis=1) <= (k - above.sum(axis=1))[:, None])
-        keep = (above | level) & np.isfinite(scores) & (k > 0)[:, None]
-        q, v = np.nonzero(keep)
+        k = ks[lo:hi]
+        most = max(int(k.max()), 0)
+        q, v, held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        bar = np.full(hi - lo, -np.inf)
+        for at in range(0, len(order) if most else 0, TILE_VECTORS):
+            tile = order[at:at + TILE_VECTORS]
+            scores = queries[lo:hi] @ vectors[tile].T
+            mask = allowed(lo, hi, tile)
+            if mask is not None:
+                scores[~mask] = -np.inf
+            if len(tile) > most:
+                # at least ``most`` rows of a tile are as good as this, so rows below it are left out
+                short = np.flatnonzero(~np.isfinite(bar))
+                floor = bar.copy()
+                if len(short):
+                    floor[short] = np.partition(scores[short], len(tile) - most, axis=1)[:, len(tile) - most]
+                near = scores >= floor[:, None] - ROUNDING
+                new_q, new_v = np.nonzero(near if mask is None else near & mask)
+            else:
+                new_q, new_v = np.nonzero(np.isfinite(scores))
+            found = np.round(scores[new_q, new_v], SCORE_DIGITS) + 0.0
+            good = np.isfinite(found) & (found > bar[new_q])
+            q, v, held = np.r_[q, new_q[good]], np.r_[v, at + new_v[good]], np.r_[held, found[good]]
+            ranked = np.lexsort((v, -held, q))
+            q, v, held = q[ranked], v[ranked], held[ranked]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k[q]
+            q, v, held = q[keep], v[keep], held[keep]
+            full = np.flatnonzero((np.bincount(q, minlength=hi - lo) >= k) & (k > 0))
+            bar[full] = held[np.searchsorted(q, full, "right") - 1]
         if len(q):
             part = keys.iloc[lo + q].reset_index(drop=True)
-            part["id"] = ids[v]
-            part["score"] = scores[q, v]
+            part["id"] = ids[order[v]]
+            part["score"] = held
             parts.append(part)
     if not parts:
         return pd.DataFrame(columns=list(keys.columns) + ["id", "score"])
@@ -66,12 +95,19 @@ def _top(keys: pd.DataFrame, ks: np.ndarray, queries: np.ndarray, ids: np.ndarra
 
 def _masker(queries: pd.DataFrame, vectors: pd.DataFrame, equal: list[tuple[str, str]],
             member: list[tuple[str, str]], exclude_self: str | None):
-    """Payload filter as a mask: equality (null = no filter), list membership (empty = no filter)."""
-    if not equal and not member and exclude_self is None:
+    """Payload filter as a mask: equality (null = no filter), list membership (empty = no filter); of a group of vector lists,
+    those that a query looks into."""
+    bits = places = None
+    if "_lists" in queries and len(queries):
+        bits = np.unpackbits(np.frombuffer(b"".join(queries["_lists"]), np.uint8).reshape(len(queries), -1), axis=1).astype(bool)
+        places = vectors["_place"].to_numpy()
+        if bits[:, np.unique(places)].all():
+            bits = None
+    if bits is None and not equal and not member and exclude_self is None:
         return lambda lo, hi, order: None
 
     def allowed(lo: int, hi: int, order: np.ndarray) -> np.ndarray:
-        mask = np.ones((hi - lo, len(order)), dtype=bool)
+        mask = np.ones((hi - lo, len(order)), dtype=bool) if bits is None else bits[lo:hi][:, places[order]]
         for qcol, vcol in equal:
             wanted = queries[qcol].iloc[lo:hi].to_numpy(dtype=object)
             have = vectors[vcol].to_numpy(dtype=object)[order]
@@ -160,7 +196,7 @@ def cosine_topk(
     else:
         form = _one_block if v.limit(BLOCK_VECTORS + 1).count() <= BLOCK_VECTORS else _pruned
         hits = form(q, v, key_list, out_schema, equal, member, exclude_self)
-    return _finish(hits, key_list, F.col("_k")).drop("_k").select(*key_list, "rank", "id", "score")
+    return _finish(hits, key_list, F.lit(k) if isinstance(k, int) else F.col("_k")).drop("_k").select(*key_list, "rank", "id", "score")
 
 
 def _keep_best(hits: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
@@ -171,10 +207,11 @@ def _keep_best(hits: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
 
 def _blocked(q: DataFrame, v: DataFrame, keys: list[str], out_schema: T.StructType,
              equal, member, exclude_self) -> DataFrame:
-    """Block nested loop inside each bucket: every (query block, vector block) is one small group.
+    """Block nested loop inside each bucket (a group of lists): every (query block, vector block) is one group of bounded size.
 
     The block counts come from exact bucket sizes, so a bucket holding a third of all rows is
-    simply cut into more blocks.
+    simply cut into more blocks. A query is sent to a group of lists once, however many of them it looks into, and gets at most
+    ``k`` rows back from there.
     """
     # fresh column identities: both sides may come from the same table
     q, v = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (q, v))
@@ -182,8 +219,9 @@ def _blocked(q: DataFrame, v: DataFrame, keys: list[str], out_schema: T.StructTy
         q.groupBy("bucket").agg(F.count("*").alias("nq"))
         .join(v.groupBy("bucket").agg(F.count("*").alias("nv")), "bucket")
         .select("bucket",
-                F.ceil(F.col("nq") / F.lit(BLOCK_QUERIES)).cast("int").alias("qn"),
-                F.ceil(F.col("nv") / F.lit(BLOCK_VECTORS)).cast("int").alias("vn")))
+                F.least(F.ceil(F.col("nq") / BLOCK_QUERIES), F.greatest(F.ceil(F.col("nq") / GROUP_QUERIES), F.lit(SPREAD))).cast(
+                    "int").alias("qn"),
+                F.ceil(F.col("nv") / GROUP_VECTORS).cast("int").alias("vn")))
     q_side = (
         q.join(sizes, "bucket")
         .withColumn("qb", F.pmod(F.xxhash64(*keys), F.col("qn")).cast("int"))
@@ -213,19 +251,40 @@ def _one_block(q: DataFrame, v: DataFrame, keys: list[str], out_schema: T.Struct
 
 def _pruned(q: DataFrame, v: DataFrame, keys: list[str], out_schema: T.StructType, equal, member, exclude_self,
             first: int = FIRST_LISTS) -> DataFrame:
-    """Exact hits by lists: a bound from the likest lists, then all lists that can reach it."""
-    index = ivf.build(v)
+    """Exact hits by lists: a bound from the likest lists, then all lists that can reach it. Where vectors have so little structure
+    that the true bounds of a sample of queries leave more than ``DENSE`` of the lists in, all pairs are scored at once instead."""
+    index = ivf.build(v, group_rows=GROUP_VECTORS)
     q = materialize(q, "queries")
-    looked = lambda side: _blocked(side, index.rows, keys, out_schema, equal, member, exclude_self)
-    near = materialize(looked(ivf.probe(q, index, first)), "near")
+
+    def bounded(side: DataFrame, bound: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for c in keys:
+            same &= side[c].eqNullSafe(bound[f"key_{c}"])
+        return side.join(bound, same & (side["_k"] == bound["place"]), "left").select(*side.columns, "bound")
+
+    def bounds(hits: DataFrame, place: str) -> DataFrame:
+        return hits.select(*[F.col(c).alias(f"key_{c}") for c in keys], F.col(place).alias("place"), F.col("score").alias("bound"))
+
+    sample = materialize(_sample(q, keys), "asked")
+    exact = cosine_topk(sample, v, "_k", tuple(keys), equal, member, exclude_self, max_cells=1 << 30)
+    left = ivf.probe(bounded(sample, bounds(exact, "rank")), index, 0, bound="bound").count()
+    if left > DENSE * sample.count() * len(index.centroids):
+        return _blocked(q.withColumn("bucket", F.lit(0)), index.rows.withColumn("bucket", F.lit(0)), keys, out_schema, equal, member, exclude_self)
+
+    rows = ivf.grouped(index)
+    looked = lambda side: _blocked(side, rows, keys, out_schema, equal, member, exclude_self)
+    near = materialize(looked(ivf.probe(q, index, first, groups=True)), "near")
     order = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    bound = (near.withColumn("place", F.row_number().over(order)).filter(F.col("place") == F.col("_k"))
-             .select(*[F.col(c).alias(f"key_{c}") for c in keys], F.col("score").alias("bound")))
-    same = F.lit(True)
-    for c in keys:
-        same &= q[c].eqNullSafe(bound[f"key_{c}"])
-    bounded = q.join(bound, same, "left").select(*q.columns, "bound")
-    return near.unionByName(looked(ivf.probe(bounded, index, first, skip=first, bound="bound")))
+    bound = bounds(near.withColumn("place", F.row_number().over(order)).filter(F.col("place") == F.col("_k")), "place")
+    return near.unionByName(looked(ivf.probe(bounded(q, bound), index, first, skip=first, bound="bound", groups=True)))
+
+
+def _sample(q: DataFrame, keys: list[str]) -> DataFrame:
+    """About ``SAMPLE_QUERIES`` of the queries, the same ones each time."""
+    share = SAMPLE_QUERIES / max(q.count(), 1)
+    if share >= 1:
+        return q
+    return q.filter(F.pmod(F.xxhash64(*keys, F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
 
 def approx_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, keys: tuple[str, ...] = ("query_id",),
@@ -241,13 +300,12 @@ def approx_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, keys: tuple
     out_schema = T.StructType(
         [q.schema[c] for c in key_list] + [T.StructField("_k", T.IntegerType()), vectors.schema["id"],
                                            T.StructField("score", T.DoubleType())])
-    index = ivf.build(vectors.select("id", "embedding"), lists)
+    index = ivf.build(vectors.select("id", "embedding"), lists, GROUP_VECTORS)
     if probes is None:
-        share = SAMPLE_QUERIES / max(q.count(), 1)
-        sample = q.filter(F.pmod(F.xxhash64(*key_list, F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1) if share < 1 else q
+        sample = _sample(q, key_list)
         exact = cosine_topk(sample, index.rows, k, keys, max_cells=1 << 30)
         probes = ivf.probes_for(index, sample, exact, key_list, target)
-    hits = _blocked(ivf.probe(q, index, probes), index.rows, key_list, out_schema, [], [], None)
+    hits = _blocked(ivf.probe(q, index, probes, groups=True), ivf.grouped(index), key_list, out_schema, [], [], None)
     return _finish(hits, key_list, F.lit(k)).select(*key_list, "rank", "id", "score")
 
 

@@ -80,3 +80,26 @@ def test_few_and_no_rows(spark, monkeypatch, block):
     want = [("a", 1, "a", 1.0), ("a", 2, "b", 0.0), ("b", 1, "a", 0.0), ("b", 2, "b", 0.0)]
     assert got(knn.cosine_topk(q, df, 5, force_blocks=True)) == want == got(knn.approx_topk(q, df, 5))
     assert got(knn.cosine_topk(q, df.limit(0), 5, force_blocks=True)) == [] == got(knn.approx_topk(q, df.limit(0), 5))
+
+
+def test_query_is_sent_once_to_a_group_of_lists(spark):
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(900, 12))  # no groups: bounds leave most lists in
+    df = spark.createDataFrame([(f"v{i:04d}", [float(x) for x in r]) for i, r in enumerate(rows)], "id string, embedding array<double>")
+    q = df.select(F.col("id").alias("query_id"), "embedding")
+    index = ivf.build(df, group_rows=300)
+    sent = ivf.probe(q, index, 1 << 30, groups=True)
+    assert sent.count() <= 5 * q.count() < 10 * q.count() <= ivf.probe(q, index, 1 << 30).count()
+    assert ivf.grouped(index).select("bucket").distinct().count() <= 5
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 6) + 0.0
+    want = sorted((f"v{i:04d}", n + 1, f"v{j:04d}", float(score[i, j])) for i in range(900)
+                  for n, j in enumerate(sorted(range(900), key=lambda j: (-score[i, j], j))[:4]))
+    close = lambda found: [(a, b, c, round(s, 5)) for a, b, c, s in found]
+    assert close(got(knn.approx_topk(q, df, 4, probes=1 << 30))) == close(want)
+    for dense in (0.0, 2.0):  # all pairs, and bounds
+        before, knn.DENSE, block, knn.BLOCK_VECTORS = knn.DENSE, dense, knn.BLOCK_VECTORS, 100
+        try:
+            assert close(got(knn.cosine_topk(q, df, 4, force_blocks=True))) == close(want)
+        finally:
+            knn.DENSE, knn.BLOCK_VECTORS = before, block
