@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from corpusgraph.functions.text import (
 from corpusgraph.operators.questions import complexity_by_words
 from corpusgraph.rules import area_rules as A
 from corpusgraph.rules import role_rules as R
-from corpusgraph.session import materialize
+from corpusgraph.session import materialize, spread
 
 
 def result_text(results: DataFrame, first: int) -> DataFrame:
@@ -26,22 +28,33 @@ def result_text(results: DataFrame, first: int) -> DataFrame:
         F.array_join(F.transform("x", lambda s: s["p"]), "\n").alias("paths"), "n_chunks")
 
 
-def role_scores(queries: DataFrame, results: DataFrame) -> DataFrame:
-    """``(query_id, role_no, role, priority, score, complexity)`` for all twelve roles."""
-    text = queries.select("query_id", "query").join(result_text(results, 10), "query_id", "left")
-    q, code, paths = F.lower("query"), F.coalesce("code", F.lit("")), F.coalesce("paths", F.lit(""))
-    where = {"query": q, "content": code, "path": paths}
-    rows = []
-    for no, role in enumerate(R.ROLES):
+def role_scores(queries: DataFrame, results: DataFrame, key: str = "query_id") -> DataFrame:
+    """``(query_id, role_no, role, priority, score, complexity)`` for all twelve roles.
+
+    ``queries(query_id, query)`` and, for lists that several questions ask of, the ``key`` that ``results`` has in place of
+    ``query_id``. What a list's texts say for each role is counted once for each list; only numbers go to its questions.
+    """
+    lists = results if key == "query_id" else results.withColumnRenamed(key, "query_id")
+
+    def points(role: str, **where: Column) -> Column:
+        steps = {"query": R.QUERY_STEP, "content": R.CONTENT_STEP, "path": R.PATH_STEP}
         words = R.ROLE_KEYWORDS[role]
-        score = (F.lit(R.PRIORITY_BASE[R.ROLE_PRIORITY[role]]) + count_contained(q, words) * R.QUERY_STEP
-                 + count_contained(code, words) * R.CONTENT_STEP + count_contained(paths, words) * R.PATH_STEP)
-        for who, source, hints, points in R.ROLE_BONUS:
-            if who == role:
-                score = score + F.when(contains_any(where[source], hints), points).otherwise(0)
-        rows.append(F.struct(F.lit(no).alias("role_no"), F.lit(role).alias("role"),
-                             F.lit(R.ROLE_PRIORITY[role]).alias("priority"), score.alias("score")))
-    return text.select("query_id", complexity_by_words(F.col("query"), F.length(code)).alias("complexity"),
+        score = reduce(lambda a, b: a + b, [count_contained(c, words) * steps[source] for source, c in where.items()])
+        for who, source, hints, extra in R.ROLE_BONUS:
+            if who == role and source in where:
+                score = score + F.when(contains_any(where[source], hints), extra).otherwise(0)
+        return score
+
+    # stored, or each of the hundreds of words looked for would put the text together again
+    said = materialize(spread(result_text(lists, 10)), "list-texts").select(
+        F.col("query_id").alias(key), F.length("code").alias("_length"),
+        F.array(*[points(role, content=F.col("code"), path=F.col("paths")) for role in R.ROLES]).alias("_said"))
+    text = queries.select(*dict.fromkeys(["query_id", "query", key])).join(said, key, "left")
+    q = F.lower("query")
+    rows = [F.struct(F.lit(no).alias("role_no"), F.lit(role).alias("role"), F.lit(R.ROLE_PRIORITY[role]).alias("priority"),
+                     (F.lit(R.PRIORITY_BASE[R.ROLE_PRIORITY[role]]) + points(role, query=q)
+                      + F.coalesce(F.get("_said", F.lit(no)), F.lit(0))).alias("score")) for no, role in enumerate(R.ROLES)]
+    return text.select("query_id", complexity_by_words(F.col("query"), F.coalesce("_length", F.lit(0))).alias("complexity"),
                        F.inline(F.array(*rows)))
 
 

@@ -67,3 +67,32 @@ def test_union_related_equals_loop(spark):
     got = graph.union_related(edges, chunks, asked)
     assert rows(got) == sorted((r for r in want if r[1] != r[2]), key=str)
     assert plan(got).split("\n")[0].strip().startswith("Union") or "Union" in plan(got).split("HashAggregate")[0]
+
+
+def test_list_texts_are_scored_once_for_all_questions(spark):
+    from corpusgraph.operators import roles
+
+    chunks = [(n, r, f"import security_{n} test class {r} database performance", f"src/{n}/app_test_{r}.py") for n in (0, 1) for r in range(1, 13)]
+    asked = [(i, f"explain security of module {i}" if i % 2 else "database", i % 3) for i in range(30)]  # list 2 does not exist
+    lists = spark.createDataFrame(chunks, "list_no int, rank int, content string, file_path string")
+    queries = spark.createDataFrame(asked, "query_id long, query string, list_no int")
+    got = roles.role_scores(queries, lists, key="list_no")
+    copied = queries.select("query_id", "list_no").join(lists, "list_no").drop("list_no")
+    assert rows(got) == rows(roles.role_scores(queries.select("query_id", "query"), copied))
+    assert "content" not in plan(got) and got.count() == 30 * 12
+
+
+def test_queries_with_the_same_names_share_their_seeds(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"d{i}", f"call f{i % 4}()", f"f{i % 4}", f"p/{i % 3}.py") for i in range(24)],
+                                   "id string, content string, name string, file_path string")
+    edges = spark.createDataFrame([(f"d{i}", f"d{(i * 5 + 1) % 24}", "CALLS", 1.0) for i in range(24)],
+                                  "src string, dst string, rel string, weight double")
+    names = spark.createDataFrame([(q, f"f{(q + j) % 4}") for q in range(40) for j in range(2)] + [(50, "none"), (51, None)],
+                                  "query_id long, name string")
+    seen = []
+    apart = graph.related_entities
+    monkeypatch.setattr(graph, "related_entities", lambda e, c, s, limit=50: seen.append(s.count()) or apart(e, c, s, limit))
+    got = rows(graph.related_to_names(edges, chunks, names, 8))
+    seeds = graph.related_seeds(names, chunks)
+    assert got == rows(apart(edges, chunks, seeds, 8).select("query_id", "rank", "id", "relevance"))
+    assert seen[0] * 10 == seeds.count()
