@@ -238,6 +238,17 @@ def related_entities(edges: DataFrame, chunks: DataFrame, seeds: DataFrame, limi
         .filter(F.col("rank") <= limit).select("query_id", "rank", "id", "relevance"))
 
 
+def related_to_names(edges: DataFrame, chunks: DataFrame, names: DataFrame, limit: int = 50) -> DataFrame:
+    """``related_entities`` of the chunks that each query's ``names(query_id, name)`` stand for. Queries with the same names have
+    the same seeds and results, so that each set of names is looked up and walked once."""
+    sets = materialize(names.select("query_id", "name").filter("name is not null").distinct().groupBy("query_id").agg(
+        F.sort_array(F.collect_set("name")).alias("_names")).withColumn("_set", F.sha2(F.to_json("_names"), 256)), "names")
+    asked = sets.groupBy("_set").agg(F.first("_names").alias("_names")).select(
+        F.col("_set").alias("query_id"), F.explode("_names").alias("name"))
+    found = materialize(related_entities(edges, chunks, materialize(related_seeds(asked, chunks), "seeds"), limit), "related")
+    return sets.select("query_id", "_set").join(found.withColumnRenamed("query_id", "_set"), "_set").drop("_set")
+
+
 def explore_nodes(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(query_id, id, reach, other_id)`` with reach ``out``, ``in`` or ``second``."""
     s = seeds.select("query_id", "id").distinct()

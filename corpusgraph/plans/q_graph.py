@@ -163,7 +163,7 @@ def related_names(d):
 SELECT query_id, rank, id, relevance FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS rank FROM scored) WHERE rank <= 50""")
 def gr6(d):
-    return graph.related_entities(d.doc_edges, d.chunks, graph.related_seeds(related_names(d), d.chunks))
+    return graph.related_to_names(d.doc_edges, d.chunks, related_names(d))
 
 
 @query("gr7_explore_nodes", "chunks", "doc_edges", sql=f"""
