@@ -22,6 +22,8 @@ from corpusgraph.llm.blocks import mix as mix64
 from corpusgraph.session import materialize
 
 SLOTS = 1 << 17
+#: Bytes of text looked at at a time.
+_BLOCK = 1 << 18
 #: Bound of the labelled sample (documents) that the classifier is fitted on.
 TRAIN_DOCS = 20_000
 #: Documents' worth of prior that a word's domain shares are shrunk to.
@@ -61,7 +63,7 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((len(DOMAINS), SLOTS + 1), np.int64)
     for batch in batches:
         domain = np.array([DOMAINS.index(x) for x in batch.column(1).to_pylist()], np.int64)
-        for rows, data, offsets in text_blocks(batch):
+        for rows, data, offsets in text_blocks(batch, limit=_BLOCK):
             row, slot, _ = _slots(data, offsets)
             np.add.at(counts, (domain[rows][row], slot), 1)
             np.add.at(counts[:, SLOTS], domain[rows], 1)
@@ -123,7 +125,7 @@ def _softmax(score: np.ndarray) -> np.ndarray:
 def _sample_scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in text_blocks(batch):
+            for _, data, offsets in text_blocks(batch, limit=_BLOCK):
                 score, _ = _scores(data, offsets, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(score[:, i]) for i in range(len(DOMAINS))],
                                                  names=[f"s{i}" for i in range(len(DOMAINS))])
@@ -136,7 +138,7 @@ def _posteriors(shared):
         odds = shared.value
         for batch in batches:
             tokens, probabilities = [], []
-            for _, data, offsets in text_blocks(batch):
+            for _, data, offsets in text_blocks(batch, limit=_BLOCK):
                 score, size = _scores(data, offsets, odds)
                 tokens.append(size)
                 probabilities.append(_softmax(score))
