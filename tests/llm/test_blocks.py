@@ -18,7 +18,7 @@ def test_temporaries_stay_small_for_a_large_batch():
     class Shared:
         value = np.zeros((len(mixing.DOMAINS), mixing.SLOTS + 1))
 
-    blocks.powers(1)
+    blocks.powers(2)  # made once for a worker
     tracemalloc.start()
     (out,) = mixing._posteriors(Shared)([batch])
     peak = tracemalloc.get_traced_memory()[1]
