@@ -33,7 +33,7 @@ BLOCK_VECTORS = 8192
 TILE_VECTORS = 2048
 ROUNDING = 1e-6
 #: Rows of a side that meet in one task at a time: both sides are sent as often as the other one has such groups.
-GROUP_QUERIES, GROUP_VECTORS = 16384, 32768
+GROUP_QUERIES, GROUP_VECTORS = 32768, 65536
 #: Groups of queries, of BLOCK_QUERIES at least, that keep the tasks busy where there are few.
 SPREAD = 16
 #: Lists that give an exact search its bound.
@@ -48,35 +48,43 @@ def _top(keys: pd.DataFrame, ks: np.ndarray, queries: np.ndarray, ids: np.ndarra
          vectors: np.ndarray, allowed) -> pd.DataFrame:
     """Best ``k`` rows of one vector block per query; ties go to the smaller id.
 
-    The vectors are looked at in tiles in the order of their ids; after the first, only scores above a query's ``k`` th so far count.
+    The vectors are looked at in tiles in the order of their ids, first in single precision; what may be above a query's ``k`` th
+    score so far is scored again in double precision and merged once there are as many such rows as are held.
     """
     order = np.argsort(ids, kind="stable")
+    order = order[np.isfinite(vectors[order]).all(axis=1)]  # others have no score with anything
+    single = vectors[order].astype(np.float32)
+    margin = ROUNDING + 2 * (vectors.shape[1] + 2) * np.finfo(np.float32).eps
     parts = []
     for lo in range(0, len(queries), BLOCK_QUERIES):
         hi = min(lo + BLOCK_QUERIES, len(queries))
         k = ks[lo:hi]
         most = max(int(k.max()), 0)
+        asked = queries[lo:hi].astype(np.float32)
         q, v, held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        bar = np.full(hi - lo, -np.inf)
+        bar = np.where(k > 0, -np.inf, np.inf)
+        new, waiting = [], 0
         for at in range(0, len(order) if most else 0, TILE_VECTORS):
             tile = order[at:at + TILE_VECTORS]
-            scores = queries[lo:hi] @ vectors[tile].T
+            scores = asked @ single[at:at + TILE_VECTORS].T
             mask = allowed(lo, hi, tile)
             if mask is not None:
                 scores[~mask] = -np.inf
-            if len(tile) > most:
+            floor = bar.copy()
+            short = np.flatnonzero(bar == -np.inf)
+            if len(tile) > most and len(short):
                 # at least ``most`` rows of a tile are as good as this, so rows below it are left out
-                short = np.flatnonzero(~np.isfinite(bar))
-                floor = bar.copy()
-                if len(short):
-                    floor[short] = np.partition(scores[short], len(tile) - most, axis=1)[:, len(tile) - most]
-                near = scores >= floor[:, None] - ROUNDING
-                new_q, new_v = np.nonzero(near if mask is None else near & mask)
-            else:
-                new_q, new_v = np.nonzero(np.isfinite(scores))
-            found = np.round(scores[new_q, new_v], SCORE_DIGITS) + 0.0
+                floor[short] = np.partition(scores[short], len(tile) - most, axis=1)[:, len(tile) - most]
+            near = scores >= (floor - margin).astype(np.float32)[:, None]
+            new_q, new_v = np.divmod(np.flatnonzero(near if mask is None else near & mask), len(tile))
+            found = np.round(np.einsum("ij,ij->i", queries[lo + new_q], vectors[tile[new_v]]), SCORE_DIGITS) + 0.0
             good = np.isfinite(found) & (found > bar[new_q])
-            q, v, held = np.r_[q, new_q[good]], np.r_[v, at + new_v[good]], np.r_[held, found[good]]
+            new.append((new_q[good], at + new_v[good], found[good]))
+            waiting += int(good.sum())
+            if waiting < (hi - lo) * most and not len(short) and at + TILE_VECTORS < len(order):
+                continue
+            q, v, held = (np.concatenate(c) for c in zip((q, v, held), *new))
+            new, waiting = [], 0
             ranked = np.lexsort((v, -held, q))
             q, v, held = q[ranked], v[ranked], held[ranked]
             keep = np.arange(len(q)) - np.searchsorted(q, q) < k[q]

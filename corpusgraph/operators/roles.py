@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -187,15 +188,19 @@ def role_retrieval(tasks: DataFrame, primary: DataFrame, fallback: DataFrame, tu
 
     def turns_of(group: pd.DataFrame) -> pd.DataFrame:
         """All turns of one query: at most 5n candidates for each role."""
+        own = group[group["position"] <= turns]
+        found = sorted(zip(*(own[c].tolist() for c in ("position", "source", "rank", "id", "n", "role"))),
+                       key=lambda r: (*r[:3], r[3] is None, r[3] or ""))
         seen: set = set()
         rows = []
-        for position, own in group[group["position"] <= turns].sort_values(["position", "source", "rank", "id"]).groupby("position"):
-            n = int(own["n"].iloc[0])
-            best = [[i for i in own.loc[own["source"] == s, "id"] if i not in seen][:n] for s in (0, 1)]
+        for position, hits in groupby(found, lambda r: r[0]):
+            turn = list(hits)
+            n, role = int(turn[0][4]), turn[0][5]
+            best = [[r[3] for r in turn if r[1] == s and r[3] not in seen][:n] for s in (0, 1)]
             short = len(best[0]) < max(5, n // 2)
             kept = list(dict.fromkeys(best[0] + (best[1] if short else [])))[:n]
             seen.update(kept)
-            rows += [(own["query_id"].iloc[0], own["role"].iloc[0], k + 1, i, position) for k, i in enumerate(kept)]
+            rows += [(group["query_id"].iloc[0], role, k + 1, i, int(position)) for k, i in enumerate(kept)]
         return pd.DataFrame(rows, columns=out.names)
 
     return cand.groupBy("query_id").applyInPandas(turns_of, out)

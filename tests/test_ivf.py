@@ -103,3 +103,22 @@ def test_query_is_sent_once_to_a_group_of_lists(spark):
             assert close(got(knn.cosine_topk(q, df, 4, force_blocks=True))) == close(want)
         finally:
             knn.DENSE, knn.BLOCK_VECTORS = before, block
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 2500])
+def test_top_equals_brute_force_with_ties_and_endless_vectors(k):
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(6000, 16))
+    rows[3000:4500] = rows[10] + rng.normal(size=(1500, 16)) * 1e-7  # differ beyond single precision
+    rows[4500:5000] = rows[11]
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows[[5, 2100, 5999]] = np.nan
+    ids = np.array([f"v{i:04d}" for i in rng.permutation(6000)], dtype=object)
+    keys = knn.pd.DataFrame({"query_id": range(20), "_k": [k, 3] * 10})
+    found = knn._top(keys, keys["_k"].to_numpy(), rows[:20], ids, rows, lambda lo, hi, tile: None)
+    want = []
+    for i in range(20):
+        score = np.round(rows @ rows[i], 6) + 0.0
+        finite = np.flatnonzero(np.isfinite(score))
+        want += [(i, ids[j]) for j in sorted(finite, key=lambda j: (-score[j], ids[j]))[:[k, 3][i % 2]]]
+    assert list(zip(found["query_id"], found["id"])) == want
