@@ -56,13 +56,16 @@ def build_edges(chunks: DataFrame) -> DataFrame:
 def walk(edges: DataFrame, seeds: DataFrame, rel: str, depth: int) -> DataFrame:
     """``(query_id, id, other_id, depth)`` reached along one relationship within ``depth`` hops.
 
-    Each level is stored and starts from the one before it, so a walk takes one join a hop.
+    Each level is stored and starts from the one before it, so a walk takes one join a hop. Where no node has two ways on (up a
+    tree), only the first level is compared for rows that meet; later ones cannot meet unless their starts did.
     """
     step = edges.filter(F.col("rel") == rel).select(F.col("src").alias("_at"), F.col("dst").alias("_next"))
     front = seeds.select("query_id", "id", F.col("id").alias("_at"))
+    single = depth > 1 and step.groupBy("_at").count().filter("_at IS NOT NULL AND count > 1").isEmpty()
     levels = []
     for hop in range(1, depth + 1):
-        front = materialize(front.join(step, "_at").select("query_id", "id", F.col("_next").alias("_at")).distinct(), "level")
+        found = front.join(step, "_at").select("query_id", "id", F.col("_next").alias("_at"))
+        front = materialize(found if single and hop > 1 else found.distinct(), "level")
         levels.append(front.select("query_id", "id", F.col("_at").alias("other_id"), F.lit(hop).alias("depth")))
     return _union(levels)
 

@@ -96,3 +96,20 @@ def test_queries_with_the_same_names_share_their_seeds(spark, monkeypatch):
     seeds = graph.related_seeds(names, chunks)
     assert got == rows(apart(edges, chunks, seeds, 8).select("query_id", "rank", "id", "relevance"))
     assert seen[0] * 10 == seeds.count()
+
+
+@pytest.mark.parametrize("double", [False, True])
+def test_walk_up_a_tree_is_made_distinct_once(spark, monkeypatch, double):
+    links = [(f"n{i}", f"n{i // 3}") for i in range(1, 40)] + [("n7", "n1"), ("n7", "n1"), ("n30", "x"), ("x", "n1")] * double
+    edges = spark.createDataFrame([(*e, "CHILD_OF", 1.0) for e in links], "src string, dst string, rel string, weight double")
+    seeds = [(q, f"n{i}") for q in (1, 2) for i in range(q, 40)] + [(1, "n8")] * 2
+    plans = []
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label="step": plans.append(plan(df)) or write(df, label))
+    got = graph.ancestors(edges, spark.createDataFrame(seeds, "query_id int, id string"))
+    want, front = set(), {(q, i, i) for q, i in seeds}
+    for depth in range(1, 6):
+        front = {(q, i, b) for q, i, at in front for a, b in links if a == at}
+        want |= {(q, i, b, depth) for q, i, b in front}
+    assert rows(got) == sorted(want, key=str)
+    assert ["Aggregate" in p for p in plans] == [True] + [double] * 4
