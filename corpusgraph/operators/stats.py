@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import banded, contains_any, extension, first_label, kind_of
 from corpusgraph.rules import area_rules as A
+from corpusgraph.session import materialize
 
 
 def graph_statistics(chunks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -97,22 +100,39 @@ def dependency_summary(dependencies: DataFrame) -> DataFrame:
 
 
 def usage_counts(edges: DataFrame, chunks: DataFrame, selection: DataFrame) -> DataFrame:
-    """Distinct callers and importers per (name, file, type) of the selected chunks; none counts as 0."""
-    uses = edges.filter(F.col("rel").isin("CALLS", "IMPORTS")).select(F.col("dst").alias("id"), "src", "rel")
-    picked = selection.select("query_id", "id").distinct().join(
-        chunks.select("id", "name", "file_path", "node_type"), "id")
-    keys = ["query_id", "name", "file_path", "node_type"]
-    seen = picked.join(uses, "id").select(*keys, "rel", "src").distinct()
-    counts = seen.groupBy(*keys).agg(
-        F.count_if(F.col("rel") == "CALLS").alias("call_count"),
-        F.count_if(F.col("rel") == "IMPORTS").alias("import_count"))
-    base = picked.select(*keys).distinct()
-    same = [base[k].eqNullSafe(counts[k]) for k in keys]
-    return base.join(counts, same, "left").select(
-        *[base[k] for k in keys],
-        F.coalesce(counts["call_count"], F.lit(0)).alias("call_count"),
-        F.coalesce(counts["import_count"], F.lit(0)).alias("import_count"),
-    ).withColumn("total_usage", F.col("call_count") + F.col("import_count"))
+    """Distinct callers and importers per (name, file, type) of the selected chunks; none counts as 0.
+
+    Edges are counted once for each chunk, however many queries select it. A caller of several chunks of one group counts once
+    for them, and which of them a query selects decides; only such callers are looked at query by query.
+    """
+    keys = ["name", "file_path", "node_type"]
+    wanted = materialize(selection.select("query_id", "id").distinct(), "wanted")
+    named = materialize(wanted.select("id").distinct().join(chunks.select("id", *keys), "id").distinct(), "named")
+    groups = materialize(named.select(*keys).distinct().withColumn("_group", F.monotonically_increasing_id()), "groups")
+    same = [named[k].eqNullSafe(groups[k]) for k in keys]
+    # numbers instead of ids, so that the aggregates below need no sort
+    members = materialize(named.join(groups, reduce(lambda x, y: x & y, same)).select(
+        "id", "_group", F.monotonically_increasing_id().alias("_chunk")), "members")
+    uses = edges.filter(F.col("rel").isin("CALLS", "IMPORTS") & F.col("src").isNotNull()).select(
+        F.col("dst").alias("id"), "src", (F.col("rel") == "CALLS").alias("_call"))
+    callers = materialize(uses.join(members, "id").groupBy("_group", "_call", "src").agg(
+        F.min("_chunk").alias("_chunk"), F.max("_chunk").alias("_last")), "callers")
+    counted = [F.count_if("_call").alias("call_count"), F.count_if(~F.col("_call")).alias("import_count")]
+    counts = callers.filter("_chunk = _last").groupBy("_chunk").agg(*counted)
+    picked = wanted.join(members, "id").select("query_id", "_group", "_chunk")
+    own = picked.join(counts, "_chunk", "left").select(
+        "query_id", "_group", F.coalesce("call_count", F.lit(0)).alias("call_count"),
+        F.coalesce("import_count", F.lit(0)).alias("import_count"))
+    several = materialize(callers.filter("_chunk <> _last").select("_group", "_call", "src"), "several")
+    met = (
+        uses.join(several.select("_call", "src").distinct(), ["_call", "src"], "left_semi").join(members, "id")
+        .join(several, ["_group", "_call", "src"], "left_semi").select("_chunk", "_call", "src"))
+    shared = picked.join(met, "_chunk").select("query_id", "_group", "_call", "src").distinct().groupBy(
+        "query_id", "_group").agg(*counted)
+    total = own.unionByName(shared).groupBy("query_id", "_group").agg(
+        F.sum("call_count").alias("call_count"), F.sum("import_count").alias("import_count"))
+    return total.join(groups, "_group").select("query_id", *keys, "call_count", "import_count").withColumn(
+        "total_usage", F.col("call_count") + F.col("import_count"))
 
 
 def usage_category(total: Column) -> Column:
