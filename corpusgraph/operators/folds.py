@@ -1,20 +1,30 @@
 """Nesting inside one file by sorting and stacks: block ends, deciding lines, smallest containing chunk.
 
 Each takes whole columns of a file's lines or chunks as arrays and is near linear in them, so that a long file costs what its
-length costs (a slice of an array in the JVM would copy the whole array for each block).
+length costs (a slice of an array in the JVM would copy the whole array for each block). Texts are unpacked and handed back a few
+megabytes at a time, so that a task's memory does not follow the number of files in an Arrow batch.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _INTS = T.ArrayType(T.IntegerType())
-_SPAN = [T.StructField("end", _INTS), T.StructField("content", T.ArrayType(T.StringType()))]
+#: Bytes of text that a task unpacks, or hands back, at a time (or one longer text).
+PART_BYTES = 1 << 21
+#: Added to a function's line, so that functions come after a file's classes.
+FUNCTION_PASS = 1_000_000_000
+CHUNK_ROW = ("path string, project_id string, language string, start_line int, end_line int, node_type string, name string, "
+             "content string, list_no int")
+CHUNK_ARROW = pa.schema([(c.split()[0], pa.int32() if c.split()[1] == "int" else pa.string()) for c in CHUNK_ROW.split(", ")])
 
 
 def block_spans(no: np.ndarray, indent: np.ndarray, is_class: np.ndarray, head: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,31 +95,62 @@ def _ints(x) -> np.ndarray:
     return np.asarray(x if x is not None else [], np.int64)
 
 
-def _cut(lines: list[str], head: np.ndarray, end: np.ndarray) -> list[str]:
-    """Texts of lines ``head`` to ``end``, both included and counted from 1."""
-    return ["\n".join(lines[a - 1:b]) for a, b in zip(head.tolist(), end.tolist())]
-
-
-@F.pandas_udf(T.StructType([*_SPAN, T.StructField("method", T.ArrayType(T.BooleanType()))]))
-def block_spans_of(content: pd.Series, no: pd.Series, indent: pd.Series, is_class: pd.Series, head: pd.Series) -> pd.DataFrame:
-    """End and text of the blocks at the lines ``head`` of each file, and whether they are in a class."""
-    out = []
-    for text, a, b, c, h in zip(content, no, indent, is_class, head):
-        lines, heads = (text or "").split("\n"), _ints(h)
-        end, method = block_spans(_ints(a), _ints(b), np.asarray(c if c is not None else [], bool), heads, len(lines))
-        out.append((end.astype(np.int32), _cut(lines, heads, end), method))
-    return pd.DataFrame(out, columns=["end", "content", "method"])
-
-
-@F.pandas_udf(T.StructType(_SPAN))
-def brace_ends_of(content: pd.Series, brace_no: pd.Series, step: pd.Series, head: pd.Series) -> pd.DataFrame:
-    """End and text of the blocks at the lines ``head`` of each file."""
-    out = []
-    for text, a, b, h in zip(content, brace_no, step, head):
-        lines, heads = (text or "").split("\n"), _ints(h)
-        end = brace_ends(_ints(a), _ints(b), heads, len(lines))
-        out.append((end.astype(np.int32), _cut(lines, heads, end)))
-    return pd.DataFrame(out, columns=["end", "content"])
+def _lists(col: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column; a null has no items."""
+    ends = np.cumsum(pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False))
+    return np.split(col.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(col) else []
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``PART_BYTES`` of text each, so that an Arrow batch of long texts is not unpacked at once."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("content")).fill_null(0).to_numpy(zero_copy_only=False)
+        run = np.cumsum(sizes, dtype=np.int64) // PART_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
+def _found(batches: Iterator[pa.RecordBatch], spans: Callable) -> Iterator[tuple]:
+    """Chunk rows of each file: classes, then functions. ``spans(lists, heads, lines)`` gives last lines and whether inside a class."""
+    for part in _parts(batches):
+        lists = {name: _lists(part.column(name)) for name in part.schema.names if name.startswith("_")}
+        texts, files = part.column("content"), [part.column(c).to_pylist() for c in ("path", "project_id", "language")]
+        for i in range(part.num_rows):
+            lines = (texts[i].as_py() or "").split("\n")
+            own = {name: rows[i] for name, rows in lists.items()}
+            for heads, names, types, first in (("_classes", "_class_names", ["class_definition"] * 2, 0),
+                                               ("_functions", "_function_names", ["function_definition", "method_definition"], FUNCTION_PASS)):
+                start = _ints(own[heads])
+                end, inside = spans(own, start, len(lines))
+                for at, last, name, method in zip(start.tolist(), end.tolist(), own[names].tolist(), inside.tolist()):
+                    yield (*(f[i] for f in files), at, last, types[method], name, "\n".join(lines[at - 1:last]), at + first)
+
+
+def _written(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``PART_BYTES`` of text."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[7]) + 100
+        if size >= PART_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), CHUNK_ARROW.types)], schema=CHUNK_ARROW)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), CHUNK_ARROW.types)], schema=CHUNK_ARROW)
+
+
+def block_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk rows of files whose blocks end by indent (columns of ``outline.outline_python``)."""
+    return _written(_found(batches, lambda own, head, last: block_spans(
+        _ints(own["_no"]), _ints(own["_indent"]), np.asarray(own["_is_class"], bool), head, last)))
+
+
+def brace_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk rows of files whose blocks end by braces (columns of ``outline.outline_braces``)."""
+    return _written(_found(batches, lambda own, head, last: (
+        brace_ends(_ints(own["_brace_no"]), _ints(own["_step"]), head, last), np.zeros(len(head), int))))
 
 
 @F.pandas_udf(_INTS)

@@ -20,7 +20,6 @@ JS_FUNCTIONS = [r"^function\s+(\w+)", r"^const\s+(\w+)\s*=\s*\(", r"^(\w+)\s*\("
 
 _LEAD = "^[ \\t\\r\\f\\x0B]*"
 _EDGE = "^[ \\t\\r\\f\\x0B]+|[ \\t\\r\\f\\x0B]+$"
-_FUNCTION_PASS = 1_000_000_000
 
 
 def line_array(content: Column) -> Column:
@@ -42,8 +41,15 @@ def _name(trimmed: Column, pattern: str) -> Column:
     return F.when(F.length(found) > 0, found)
 
 
-def _rows(files: DataFrame, chunks: Column) -> DataFrame:
-    rows = files.select("path", "project_id", "language", F.inline(chunks))
+def _rows(files: DataFrame, find: Callable, *lists: str) -> DataFrame:
+    """Chunks that ``find`` makes of the files' texts, headers and further ``lists``.
+
+    ``list_no`` is a chunk's place in the file's chunk list (classes first).
+    """
+    heads = []
+    for column, names in (("_classes", "_class_names"), ("_functions", "_function_names")):
+        heads += [F.transform(column, lambda h: h["no"]).alias(column), F.transform(column, lambda h: h["name"]).alias(names)]
+    rows = files.select("path", "project_id", "language", "content", *heads, *lists).mapInArrow(find, folds.CHUNK_ROW)
     return rows.select(
         chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("content")).alias("id"),
         F.col("path").alias("file_path"), "project_id", "language", "start_line", "end_line", "node_type", "name",
@@ -60,30 +66,15 @@ def _with_heads(files: DataFrame, names: list[tuple[str, Callable[[Column], Colu
     return rows.withColumns({column: heads(name_of) for column, name_of in names})
 
 
-def _chunks_at(heads: str, spans: str, kind, first: int) -> Column:
-    """Chunk structs of headers: ``spans`` has their last lines and texts, ``kind`` gives the node type of the i-th one.
-
-    ``list_no`` is a chunk's place in the file's chunk list (classes first).
-    """
-    return F.transform(heads, lambda h, i: F.struct(
-        h["no"].alias("start_line"), F.get(f"{spans}.end", i).alias("end_line"), kind(i).alias("node_type"),
-        h["name"].alias("name"), F.get(f"{spans}.content", i).alias("content"), (h["no"] + F.lit(first)).alias("list_no")))
-
-
 def outline_python(files: DataFrame) -> DataFrame:
     """Classes, functions and methods by header line; a block ends before the next non-blank line
     that is not indented deeper than its header."""
     rows = _with_heads(files, [("_classes", lambda t: _name(t, PY_CLASS)), ("_functions", lambda t: _name(t, PY_FUNCTION))])
     rows = rows.withColumn("_solid", F.filter("_lines", lambda x: F.length(x["trimmed"]) > 0)).withColumns({
         "_no": F.transform("_solid", lambda x: x["no"]), "_indent": F.transform("_solid", lambda x: x["indent"]),
-        "_is_class": F.transform("_solid", lambda x: x["trimmed"].startswith("class "))}).drop("_solid")
+        "_is_class": F.transform("_solid", lambda x: x["trimmed"].startswith("class "))})
     # headers are solid lines, found again by their numbers
-    for name, heads in (("_c", "_classes"), ("_f", "_functions")):
-        numbers = F.transform(heads, lambda h: h["no"])
-        rows = rows.withColumn(name, folds.block_spans_of("content", "_no", "_indent", "_is_class", numbers))
-    kinds = lambda i: F.when(F.get("_f.method", i), "method_definition").otherwise("function_definition")
-    return _rows(rows, F.concat(
-        _chunks_at("_classes", "_c", lambda i: F.lit("class_definition"), 0), _chunks_at("_functions", "_f", kinds, _FUNCTION_PASS)))
+    return _rows(rows, folds.block_chunks, "_no", "_indent", "_is_class")
 
 
 def outline_braces(files: DataFrame) -> DataFrame:
@@ -93,14 +84,9 @@ def outline_braces(files: DataFrame) -> DataFrame:
                                ("_functions", lambda t: F.coalesce(*[_name(t, p) for p in JS_FUNCTIONS]))])
     rows = rows.withColumn("_braces", F.flatten(F.transform("_lines", lambda x: F.transform(
         F.regexp_extract_all(x["text"], F.lit("[{}]"), F.lit(0)),
-        lambda b: F.struct(x["no"].alias("no"), F.when(b == "{", 1).otherwise(-1).alias("step"))))))
-    for name, heads in (("_c", "_classes"), ("_f", "_functions")):
-        rows = rows.withColumn(name, folds.brace_ends_of(
-            "content", F.transform("_braces", lambda b: b["no"]), F.transform("_braces", lambda b: b["step"]),
-            F.transform(heads, lambda h: h["no"])))
-    return _rows(rows, F.concat(
-        _chunks_at("_classes", "_c", lambda i: F.lit("class_definition"), 0),
-        _chunks_at("_functions", "_f", lambda i: F.lit("function_definition"), _FUNCTION_PASS)))
+        lambda b: F.struct(x["no"].alias("no"), F.when(b == "{", 1).otherwise(-1).alias("step")))))).withColumns({
+            "_brace_no": F.transform("_braces", lambda b: b["no"]), "_step": F.transform("_braces", lambda b: b["step"])})
+    return _rows(rows, folds.brace_chunks, "_brace_no", "_step")
 
 
 def outline(files: DataFrame) -> DataFrame:

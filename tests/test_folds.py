@@ -76,3 +76,36 @@ def test_odd_files(spark):
     assert got == [("c.py", "A", 1, 3)]
     assert relate.containment_parent(outline.outline(files)).count() == 0
     assert outline.outline(files.filter(F.lit(False))).count() == 0
+
+
+def test_texts_are_unpacked_and_handed_back_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    files = []
+    for i in range(60):
+        text = "\n".join(f"class C{j}:\n    def m{j}(self):\n        return {'x' * rng.randint(0, 60)}" for j in range(rng.randint(0, 6)))
+        lines = text.split("\n")
+        solid = [(n + 1, len(s) - len(s.lstrip()), s.startswith("class ")) for n, s in enumerate(lines) if s.strip()]
+        heads = {w: [(n + 1, s.split()[1][:2]) for n, s in enumerate(lines) if s.strip().startswith(w)] for w in ("class ", "def ")}
+        files.append({"path": f"f{i}", "project_id": None, "language": "python", "content": text if i % 7 else None,
+                      "_classes": [n for n, _ in heads["class "]] if i % 7 else None, "_class_names": [x for _, x in heads["class "]] if i % 7 else None,
+                      "_functions": [n for n, _ in heads["def "]] if i % 7 else None, "_function_names": [x for _, x in heads["def "]] if i % 7 else None,
+                      "_no": [a for a, _, _ in solid] if i % 7 else None, "_indent": [b for _, b, _ in solid] if i % 7 else None,
+                      "_is_class": [c for _, _, c in solid] if i % 7 else None})
+    ints, strings = pa.list_(pa.int32()), pa.list_(pa.string())
+    batch = pa.RecordBatch.from_pylist(files, schema=pa.schema([
+        ("path", pa.string()), ("project_id", pa.string()), ("language", pa.string()), ("content", pa.string()), ("_classes", ints),
+        ("_class_names", strings), ("_functions", ints), ("_function_names", strings), ("_no", ints), ("_indent", ints),
+        ("_is_class", pa.list_(pa.bool_()))]))
+    run = lambda: list(folds.block_chunks(iter([batch.slice(0, 0), batch.slice(1, 30), batch.slice(31)])))
+    whole = run()
+    monkeypatch.setattr(folds, "PART_BYTES", 600)
+    parts = run()
+    assert len(whole) == 1 and len(parts) > 10 and max(b.num_rows for b in parts) <= 6
+    rows = [r for b in parts for r in b.to_pylist()]
+    assert rows == whole[0].to_pylist() and len(rows) == sum(len(f["_no"] or []) // 3 * 2 for f in files[1:])
+    text = {f["path"]: f["content"] for f in files}
+    for r in rows:
+        assert r["content"] == "\n".join(text[r["path"]].split("\n")[r["start_line"] - 1:r["end_line"]])
+        assert r["end_line"] - r["start_line"] == (2 if r["node_type"] == "class_definition" else 1)
