@@ -146,14 +146,19 @@ def assign_unique(selected: DataFrame, results: DataFrame, turns: int = len(R.RO
 
 
 def assign_by_score(roles: DataFrame, results: DataFrame, used: DataFrame | None = None) -> DataFrame:
-    """``roles(query_id, role, start, target)``: the chunks from ``start`` on, then the best-scoring others."""
-    parts = []
-    low, path = F.lower("content"), F.lower("file_path")
-    for role, words in R.ROLE_KEYWORDS.items():
-        parts.append(F.when(F.col("role") == role, (
-            count_contained(low, words) * 1.0 + count_contained(path, words) * 0.5) / len(words)))
-    bonus = lookup(kind_of(F.col("node_type")), R.SCORE_KIND_BONUS, 0.0)
-    rows = roles.join(results, "query_id")
+    """``roles(query_id, role, start, target)``: the chunks from ``start`` on, then the best-scoring others.
+
+    What a chunk's text says is counted once for all roles; the text goes no further.
+    """
+    # a lambda's argument is made once; a column would be lower-cased again for each word
+    said = F.transform(F.array(F.struct(F.lower("content").alias("low"), F.lower("file_path").alias("path"))), lambda t: F.array(*[
+        (count_contained(t["low"], words) * 1.0 + count_contained(t["path"], words) * 0.5) / len(words)
+        for words in R.ROLE_KEYWORDS.values()]))
+    counted = results.select("query_id", "id", "rank", lookup(kind_of(F.col("node_type")), R.SCORE_KIND_BONUS, 0.0).alias("_bonus"),
+                             F.get(said, F.lit(0)).alias("_said"))
+    parts = [F.when(F.col("role") == role, F.get("_said", F.lit(i))) for i, role in enumerate(R.ROLE_KEYWORDS)]
+    bonus = F.col("_bonus")
+    rows = roles.join(counted, "query_id")
     if used is None:
         fresh = F.lit(True)
     else:
