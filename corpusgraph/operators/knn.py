@@ -101,31 +101,19 @@ def _top(keys: pd.DataFrame, ks: np.ndarray, queries: np.ndarray, ids: np.ndarra
     return pd.concat(parts, ignore_index=True)
 
 
-def _masker(queries: pd.DataFrame, vectors: pd.DataFrame, equal: list[tuple[str, str]],
-            member: list[tuple[str, str]], exclude_self: str | None):
-    """Payload filter as a mask: equality (null = no filter), list membership (empty = no filter); of a group of vector lists,
-    those that a query looks into."""
+def _masker(queries: pd.DataFrame, vectors: pd.DataFrame, exclude_self: str | None):
+    """What a query may not have, as a mask: of a group of vector lists those that it does not look into, and itself."""
     bits = places = None
     if "_lists" in queries and len(queries):
         bits = np.unpackbits(np.frombuffer(b"".join(queries["_lists"]), np.uint8).reshape(len(queries), -1), axis=1).astype(bool)
         places = vectors["_place"].to_numpy()
         if bits[:, np.unique(places)].all():
             bits = None
-    if bits is None and not equal and not member and exclude_self is None:
+    if bits is None and exclude_self is None:
         return lambda lo, hi, order: None
 
     def allowed(lo: int, hi: int, order: np.ndarray) -> np.ndarray:
         mask = np.ones((hi - lo, len(order)), dtype=bool) if bits is None else bits[lo:hi][:, places[order]]
-        for qcol, vcol in equal:
-            wanted = queries[qcol].iloc[lo:hi].to_numpy(dtype=object)
-            have = vectors[vcol].to_numpy(dtype=object)[order]
-            free = pd.isna(wanted)
-            mask &= (wanted[:, None] == have[None, :]) | free[:, None]
-        for qcol, vcol in member:
-            have = vectors[vcol].to_numpy(dtype=object)[order]
-            for i, wanted in enumerate(queries[qcol].iloc[lo:hi]):
-                if wanted is not None and len(wanted):
-                    mask[i] &= np.isin(have, np.asarray(list(wanted), dtype=object))
         if exclude_self is not None:
             own = queries[exclude_self].iloc[lo:hi].to_numpy(dtype=object)
             mask &= own[:, None] != vectors["id"].to_numpy(dtype=object)[order][None, :]
@@ -134,6 +122,48 @@ def _masker(queries: pd.DataFrame, vectors: pd.DataFrame, equal: list[tuple[str,
     return allowed
 
 
+def _alike(queries: pd.DataFrame, vectors: pd.DataFrame, equal: list[tuple[str, str]],
+           member: list[tuple[str, str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of queries with the same payload filter and of the vectors it lets through: equality (null = no filter), list
+    membership (empty = no filter). A vector without a payload passes no filter on it."""
+    codes, wanted = [], []
+    for qcol, vcol in [*equal, *member]:
+        code, values = pd.factorize(vectors[vcol])
+        known = {value: i for i, value in enumerate(values)}
+        codes.append(code)
+        if (qcol, vcol) in equal:
+            wanted.append([None if pd.isna(x) else (known.get(x, len(known)),) for x in queries[qcol]])
+        else:
+            wanted.append([tuple(sorted({known[x] for x in xs if x in known})) if xs is not None and len(xs) else None for xs in queries[qcol]])
+    asked: dict[tuple, list[int]] = {}
+    for i, filters in enumerate(zip(*wanted)):
+        asked.setdefault(filters, []).append(i)
+    for filters, rows in asked.items():
+        mask = np.ones(len(vectors), dtype=bool)
+        for code, want in zip(codes, filters):
+            if want is not None:
+                mask &= np.isin(code, want)
+        yield np.array(rows), np.flatnonzero(mask)
+
+
+def _top_filtered(queries: pd.DataFrame, asked: np.ndarray, vectors: pd.DataFrame, keys: list[str], equal: list[tuple[str, str]],
+                  member: list[tuple[str, str]], exclude_self: str | None) -> pd.DataFrame:
+    """``_top`` under payload filters: queries that filter alike are scored together, and with the vectors they may have only."""
+    labels, ids = queries[keys + ["_k"]], vectors["id"].to_numpy()
+    if not equal and not member:
+        return _top(labels, labels["_k"].to_numpy(), asked, ids, matrix(vectors["embedding"]), _masker(queries, vectors, exclude_self))
+    vectors = vectors.iloc[np.argsort(ids, kind="stable")]
+    ids, rows = vectors["id"].to_numpy(), matrix(vectors["embedding"])
+    parts = []
+    for own, let in _alike(queries, vectors, equal, member):
+        if len(let):
+            mine = queries.iloc[own]
+            parts.append(_top(labels.iloc[own], mine["_k"].to_numpy(), asked[own], ids[let], rows[let],
+                              _masker(mine, vectors.iloc[let], exclude_self)))
+    parts = [part for part in parts if len(part)]
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=keys + ["_k", "id", "score"])
+
+
 def _finish(hits: DataFrame, keys: list[str], k: Column) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("id"))
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -184,15 +214,11 @@ def cosine_topk(
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             meta, asked = shared.value
-            labels = meta[key_list + ["_k"]]
-            ks = meta["_k"].to_numpy()
             held: list[pd.DataFrame] = []
             rows = 0
             for batch in batches:
                 for lo in range(0, len(batch), BATCH_ROWS):
-                    part = batch.iloc[lo: lo + BATCH_ROWS]
-                    held.append(_top(labels, ks, asked, part["id"].to_numpy(), matrix(part["embedding"]),
-                                     _masker(meta, part, equal, member, exclude_self)))
+                    held.append(_top_filtered(meta, asked, batch.iloc[lo: lo + BATCH_ROWS], key_list, equal, member, exclude_self))
                     rows += len(held[-1])
                 if rows > 500_000:
                     held = [_keep_best(pd.concat(held, ignore_index=True), key_list)]
@@ -244,9 +270,7 @@ def _blocked(q: DataFrame, v: DataFrame, keys: list[str], out_schema: T.StructTy
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=keys + ["_k", "id", "score"])
-        return _top(left[keys + ["_k"]], left["_k"].to_numpy(), matrix(left["embedding"]),
-                    right["id"].to_numpy(), matrix(right["embedding"]),
-                    _masker(left, right, equal, member, exclude_self))
+        return _top_filtered(left, matrix(left["embedding"]), right, keys, equal, member, exclude_self)
 
     where = ["bucket", "qb", "vb"]
     return q_side.groupBy(*where).cogroup(v_side.groupBy(*where)).applyInPandas(pair, out_schema)
