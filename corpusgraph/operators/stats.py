@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgraph.functions.text import banded, contains_any, extension, first_label, kind_of
+from corpusgraph.functions.text import banded, contains_any, extension, first_label, kind_of, lookup
 from corpusgraph.rules import area_rules as A
 from corpusgraph.session import materialize
 
@@ -188,8 +188,13 @@ def kind_distribution(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id", "node_type").agg(F.count("*").alias("n"))
 
 
-def relationship_histogram(relationships: DataFrame) -> DataFrame:
-    return relationships.groupBy("query_id", "rel").agg(F.count("*").alias("n"))
+def relationship_histogram(relationships: DataFrame, both_ways: bool = False) -> DataFrame:
+    """Relationships of each kind; with ``both_ways`` every one of ``relationships`` has its reverse, which is not listed."""
+    counts = relationships.groupBy("query_id", "rel").agg(F.count("*").alias("n"))
+    if not both_ways:
+        return counts
+    reverse = lookup(F.col("rel"), {name: back for name, back, _ in A.EDGE_KINDS})
+    return counts.select("query_id", F.explode(F.array("rel", reverse)).alias("rel"), "n")
 
 
 def graph_insights(centrality: DataFrame, paths: DataFrame, threshold: float = 0.7) -> DataFrame:

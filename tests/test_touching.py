@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import graph
+from corpusgraph.operators import graph, stats
 from corpusgraph.rules.area_rules import EDGE_KINDS
 from corpusgraph.sources.derived import Data
 
@@ -55,3 +55,6 @@ def test_links_are_one_direction_of_edges(spark):
     assert both.count() == d.edges.count() and both.exceptAll(d.edges).isEmpty()
     close = lambda df: sorted((r["query_id"], r["id"], round(r["graph_score"], 9)) for r in df.collect())
     assert close(graph.graph_score(graph.touching(d.links, d.selection), ways=2)) == close(graph.graph_score(graph.touching(d.edges, d.selection)))
+    counts = lambda df: sorted(map(tuple, df.collect()))
+    assert counts(stats.relationship_histogram(graph.touching(d.links, d.selection), both_ways=True)) == counts(
+        stats.relationship_histogram(graph.touching(d.edges, d.selection)))
