@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import kind_of, lookup
-from corpusgraph.operators.filters import substring_join
+from corpusgraph.operators.filters import begins_like, substring_join
 from corpusgraph.operators.salting import salted_join
 from corpusgraph.rules.area_rules import EDGE_KINDS
 from corpusgraph.session import materialize
@@ -355,20 +355,14 @@ def path_score(path_rows: DataFrame) -> DataFrame:
         .groupBy("query_id", "id").agg(F.least(F.sum("_v"), F.lit(1.0)).alias("path_score")))
 
 
-#: Different first characters of ids that are looked at to leave out ends that cannot be selected.
-MOST_INITIALS = 64
-
-
 def touching(edges: DataFrame, selection: DataFrame) -> DataFrame:
     """``(query_id, src, dst, rel, weight)``: edges whose source or target is selected, each once.
 
-    Ids of a kind begin alike: an end that begins like no selected id is not looked up. Edges with one end left cannot come up from
-    both sides and are made distinct where they were joined; only edges with both ends left are compared across the two sides.
+    An end that begins like no selected id is not looked up. Edges with one end left cannot come up from both sides and are made
+    distinct where they were joined; only edges with both ends left are compared across the two sides.
     """
     s = materialize(selection.select("query_id", "id").distinct(), "touching")
-    found = s.select(F.substring("id", 1, 1).alias("c")).filter("c IS NOT NULL").distinct().limit(MOST_INITIALS + 1).collect()
-    maybe = lambda end: F.coalesce(
-        F.substring(end, 1, 1).isin([r["c"] for r in found]) if len(found) <= MOST_INITIALS else F.col(end).isNotNull(), F.lit(False))
+    maybe = begins_like(s, "id")
     cols = ["query_id", "src", "dst", "rel", "weight"]
     rows = edges.select(*cols[1:])
     joined = lambda df, end: df.join(s.withColumnRenamed("id", end), end).select(*cols)
@@ -382,8 +376,11 @@ def data_flow(edges: DataFrame, chunks: DataFrame, selection: DataFrame, limit:
     """Call and import edges touching the selection, with the attributes of both ends."""
     hits = touching(edges.filter(F.col("rel").isin("CALLS", "IMPORTS")), selection)
     w = Window.partitionBy("query_id").orderBy("src", "dst", "rel")
-    hits = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    side = lambda p: chunks.select(
+    # a few rows for each query, and their ends: small enough to be sent to the nodes, unless the queries are many
+    hits = materialize(hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit), "flow")
+    ends = materialize(hits.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "flow-ends")
+    known = materialize(chunks.join(ends, "id", "left_semi").select("id", "name", "file_path", "node_type"), "flow-nodes")
+    side = lambda p: known.select(
         F.col("id").alias(p), F.col("name").alias(f"{p}_name"), F.col("file_path").alias(f"{p}_file"),
         F.col("node_type").alias(f"{p}_type"))
     return (

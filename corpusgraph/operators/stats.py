@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.text import banded, contains_any, extension, first_label, kind_of, lookup
+from corpusgraph.operators.filters import begins_like
 from corpusgraph.rules import area_rules as A
 from corpusgraph.session import materialize
 
@@ -58,7 +59,7 @@ def layer_components(chunks: DataFrame, selection: DataFrame, limit: int = 10) -
     order = [F.desc("component_count"), F.asc("file_path"), F.asc("node_type")]
     shared = groups(chunks.filter(by_path), []).orderBy(*order).limit(limit)
     wanted = selection.select("query_id", "id").distinct()
-    own = groups(wanted.join(chunks.filter(~by_path), "id"), ["query_id"])
+    own = groups(wanted.join(chunks.filter(~by_path & begins_like(wanted, "id")("id")), "id"), ["query_id"])
     everyone = selection.select("query_id").distinct().join(F.broadcast(shared))
     w = Window.partitionBy("query_id").orderBy(*order)
     return (
@@ -67,26 +68,33 @@ def layer_components(chunks: DataFrame, selection: DataFrame, limit: int = 10) -
                 "component_count", "sample_components"))
 
 
-def file_dependencies(edges: DataFrame, chunks: DataFrame, selection: DataFrame, limit: int = 15) -> DataFrame:
-    """Strongest call/import links between files around the selected files.
+def file_dependencies(edges: DataFrame, chunks: DataFrame, selection: DataFrame, limit: int = 15,
+                      chosen: DataFrame | None = None) -> DataFrame:
+    """Strongest call/import links between files around the selected files (``chosen(query_id, file_path)``, if known).
 
     Edges are first added up per file pair.  A pair with both files selected counts once for each.
     """
     files = chunks.select("id", "file_path")
+    uses = edges.filter(F.col("rel").isin("CALLS", "IMPORTS")).select("src", "dst")
+    chosen = _selected_files(files, selection) if chosen is None else chosen
+    maybe, linked = begins_like(chosen, "file_path"), begins_like(uses, "src", "dst")
+    ends = files.filter(linked("id"))
     pairs = (
-        edges.filter(F.col("rel").isin("CALLS", "IMPORTS"))
-        .join(files.select(F.col("id").alias("src"), F.col("file_path").alias("source_file")), "src")
-        .join(files.select(F.col("id").alias("dst"), F.col("file_path").alias("target_file")), "dst")
+        uses.join(ends.select(F.col("id").alias("src"), F.col("file_path").alias("source_file")), "src")
+        .join(ends.select(F.col("id").alias("dst"), F.col("file_path").alias("target_file")), "dst")
+        .filter(maybe("source_file") | maybe("target_file"))
         .groupBy("source_file", "target_file").agg(F.count("*").alias("n")))
-    chosen = selection.select("query_id", "id").join(files, "id").select("query_id", "file_path").distinct()
-    by_source = chosen.join(pairs, chosen["file_path"] == pairs["source_file"])
-    by_target = chosen.join(pairs.filter("source_file <> target_file"),
-                            F.col("file_path") == F.col("target_file"))
-    cols = ["query_id", "source_file", "target_file", "n"]
+    # each pair goes once to each of its files that may be chosen
+    way = lambda when, own, other: F.when(when, F.struct(
+        F.col(own).alias("file_path"), F.col(other).alias("_other"), F.lit(own == "source_file").alias("_out")))
+    ways = F.array_compact(F.array(way(maybe("source_file"), "source_file", "target_file"),
+                                   way(maybe("target_file") & F.expr("source_file <> target_file"), "target_file", "source_file")))
+    found = pairs.select("n", F.inline(ways)).join(chosen, "file_path").select(
+        "query_id", "n", F.when(F.col("_out"), F.col("file_path")).otherwise(F.col("_other")).alias("source_file"),
+        F.when(F.col("_out"), F.col("_other")).otherwise(F.col("file_path")).alias("target_file"))
     w = Window.partitionBy("query_id").orderBy(F.desc("strength"), "source_file", "target_file")
     return (
-        by_source.select(*cols).unionByName(by_target.select(*cols))
-        .groupBy("query_id", "source_file", "target_file").agg(F.sum("n").alias("strength"))
+        found.groupBy("query_id", "source_file", "target_file").agg(F.sum("n").alias("strength"))
         .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit))
 
 
@@ -107,13 +115,14 @@ def usage_counts(edges: DataFrame, chunks: DataFrame, selection: DataFrame) -> D
     """
     keys = ["name", "file_path", "node_type"]
     wanted = materialize(selection.select("query_id", "id").distinct(), "wanted")
-    named = materialize(wanted.select("id").distinct().join(chunks.select("id", *keys), "id").distinct(), "named")
+    selected = begins_like(wanted, "id")
+    named = materialize(wanted.select("id").distinct().join(chunks.filter(selected("id")).select("id", *keys), "id").distinct(), "named")
     groups = materialize(named.select(*keys).distinct().withColumn("_group", F.monotonically_increasing_id()), "groups")
     same = [named[k].eqNullSafe(groups[k]) for k in keys]
     # numbers instead of ids, so that the aggregates below need no sort
     members = materialize(named.join(groups, reduce(lambda x, y: x & y, same)).select(
         "id", "_group", F.monotonically_increasing_id().alias("_chunk")), "members")
-    uses = edges.filter(F.col("rel").isin("CALLS", "IMPORTS") & F.col("src").isNotNull()).select(
+    uses = edges.filter(F.col("rel").isin("CALLS", "IMPORTS") & F.col("src").isNotNull() & selected("dst")).select(
         F.col("dst").alias("id"), "src", (F.col("rel") == "CALLS").alias("_call"))
     callers = materialize(uses.join(members, "id").groupBy("_group", "_call", "src").agg(
         F.min("_chunk").alias("_chunk"), F.max("_chunk").alias("_last")), "callers")
@@ -147,25 +156,39 @@ def usage_hotspots(edges: DataFrame, chunks: DataFrame, selection: DataFrame, li
         .withColumn("usage_category", usage_category(F.col("total_usage"))))
 
 
-def _selected_file_types(chunks: DataFrame, selection: DataFrame) -> DataFrame:
-    """``(query_id, file_path, node_type, n)`` for every chunk of the files of the selection."""
-    per_file = chunks.groupBy("file_path", "node_type").agg(F.count("*").alias("n"))
-    files = selection.select("query_id", "id").join(chunks.select("id", "file_path"), "id").select(
-        "query_id", "file_path").distinct()
-    return files.join(per_file, "file_path")
+def _selected_files(files: DataFrame, selection: DataFrame) -> DataFrame:
+    """``(query_id, file_path)``: files of the selected ids, stored."""
+    wanted = selection.select("query_id", "id")
+    return materialize(wanted.join(files.filter(begins_like(wanted, "id")("id")).select("id", "file_path"), "id").select(
+        "query_id", "file_path").distinct(), "files")
 
 
-def system_overview(chunks: DataFrame, selection: DataFrame) -> DataFrame:
-    return _selected_file_types(chunks, selection).groupBy("query_id").agg(
+def _file_types(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """``(query_id, file_path, node_type, n)`` for every chunk of ``files(query_id, file_path)``, stored."""
+    per_file = chunks.filter(begins_like(files, "file_path")("file_path")).groupBy("file_path", "node_type").agg(F.count("*").alias("n"))
+    return materialize(files.join(per_file, "file_path"), "file-types")
+
+
+def _overview(types: DataFrame) -> DataFrame:
+    return types.groupBy("query_id").agg(
         F.countDistinct("file_path").alias("total_files"), F.sum("n").alias("total_chunks"),
         F.countDistinct("node_type").alias("node_types"),
         F.array_sort(F.collect_set("node_type")).alias("types_list"))
 
 
+def system_overview(chunks: DataFrame, selection: DataFrame) -> DataFrame:
+    return _overview(_file_types(chunks, _selected_files(chunks, selection)))
+
+
 def complexity(chunks: DataFrame, selection: DataFrame) -> DataFrame:
     """Score 0.4 chunks/file + 0.3 types/10 + 0.3 e with e = -sum(p * sqrt(p)), and its level."""
-    types = _selected_file_types(chunks, selection).groupBy("query_id", "node_type").agg(F.sum("n").alias("n"))
-    totals = system_overview(chunks, selection).select("query_id", "total_files", "total_chunks", "node_types")
+    types = _file_types(chunks, _selected_files(chunks, selection))
+    return _complexity(types, _overview(types))
+
+
+def _complexity(file_types: DataFrame, overview: DataFrame) -> DataFrame:
+    types = file_types.groupBy("query_id", "node_type").agg(F.sum("n").alias("n"))
+    totals = materialize(overview.select("query_id", "total_files", "total_chunks", "node_types"), "totals")
     p = F.col("n") / F.col("total_chunks")
     spread = types.join(totals, "query_id").groupBy("query_id").agg((-F.sum(p * F.sqrt(p))).alias("_e"))
     per_file, diversity = F.col("total_chunks") / F.col("total_files"), F.col("node_types") / 10
@@ -392,16 +415,20 @@ def graph_export(chunks: DataFrame, edges: DataFrame, file_path: str | None = No
 
 
 def comprehensive_context(edges: DataFrame, chunks: DataFrame, selection: DataFrame) -> dict[str, DataFrame]:
-    """All reports about one selection."""
+    """All reports about one selection; what two of them need is made once."""
     from corpusgraph.operators.graph import data_flow
 
-    deps = file_dependencies(edges, chunks, selection)
+    selection = materialize(selection.select("query_id", "id"), "selection")
+    files = _selected_files(chunks, selection)
+    deps = materialize(file_dependencies(edges, chunks, selection, chosen=files), "dependencies")
+    types = _file_types(chunks, files)
+    overview = materialize(_overview(types), "overview")
     return {
         "architectural_patterns": layer_components(chunks, selection),
         "data_flow_patterns": data_flow(edges, chunks, selection),
         "file_dependencies": deps,
         "dependency_graph": dependency_summary(deps),
         "usage_patterns": usage_hotspots(edges, chunks, selection),
-        "system_overview": system_overview(chunks, selection),
-        "system_complexity": complexity(chunks, selection),
+        "system_overview": overview,
+        "system_complexity": _complexity(types, overview),
     }

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import graph, stats
+from corpusgraph.operators import filters, graph, stats
 from corpusgraph.rules.area_rules import EDGE_KINDS
 from corpusgraph.sources.derived import Data
 
@@ -21,7 +21,7 @@ def _shuffled(node) -> int:
 
 @pytest.mark.parametrize("most", [0, 64])
 def test_each_edge_once_for_each_query(spark, monkeypatch, most):
-    monkeypatch.setattr(graph, "MOST_INITIALS", most)
+    monkeypatch.setattr(filters, "MOST_INITIALS", most)
     pick = random.Random(5)
     ids = [f"{kind}{i}" for kind in "abx" for i in range(12)] + [None, ""]
     edges = [(pick.choice(ids), pick.choice(ids), pick.choice(["CALLS", "IMPORTS"]), pick.choice([0.5, 1.0])) for _ in range(900)]
